@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Training rows of a fold have a remainder other than 0.
@@ -21,7 +25,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a session once, so that their Python workers can import it anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).resolve().parents[1]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,9 +60,8 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label:
     usable = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = usable.groupBy(label).agg(F.count("*").alias("_n"))
     point = (F.xxhash64(F.col("doc_id"), F.lit("sample")) % 1_000_000_000 + 999_999_999) / 1_999_999_999
-    from pyspark.sql import Window
-
-    likely = usable.join(sizes, label).withColumn("_p", point).where(F.col("_p") <= F.lit(1.3 * per_label + 60) / F.col("_n"))
+    # one row for each label value; broadcast, so that the rows aren't dealt out by label before most of them are gone
+    likely = usable.join(F.broadcast(sizes), label).withColumn("_p", point).where(F.col("_p") <= F.lit(1.3 * per_label + 60) / F.col("_n"))
     order = Window.partitionBy(label).orderBy("_p", "doc_id")
     chosen = likely.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).select("doc_id", label)
     # a row of the sample is two numbers: at most per_label of them for each label value, so this side is safe to broadcast

@@ -135,3 +135,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, most: flo
     taken = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
     documents = rows.join(per_row, ["source_key", "start"], "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
     return documents, plan
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs as often as the mix begins them, with all their columns. A document that the mix begins is kept
+    whole, so a source passes its target by less than one document. Rows equal in id, source and size all get the
+    copies of the one taken most."""
+    sizes = cut(sized(docs))
+    goals = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ratio, most))
+    begun = F.greatest(F.lit(0), F.ceil((F.floor("target") - F.col("start")) / F.col("source_size"))).cast("int")
+    copies = placed(sizes, goals).where("size > 0").withColumn("n", begun).groupBy("doc_id", "source_key", "size").agg(F.max("n").alias("n")).where("n > 0")
+    names = [f"_{c}" for c in ("id", "source_key", "size", "n")]
+    while set(names) & set(docs.columns):
+        names = [f"_{c}" for c in names]
+    copies = copies.toDF(*names)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (_key(F.col("source").cast("string")) == F.col(names[1])) & (F.regexp_count(F.col("text"), F.lit(WORD)) == F.col(names[2]))
+    kept = docs.join(copies, same).withColumn(names[0], F.explode(F.sequence(F.lit(1), F.col(names[3]))))
+    return kept.select(*docs.columns)

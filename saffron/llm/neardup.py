@@ -6,11 +6,14 @@ banded signature. Each bucket compares pivots with its other members, never all
 
 1. the smallest class of a bucket is its first pivot and meets every other member;
 2. once the links found so far are turned into components, members of a bucket that are already connected need no
-   comparison; of the others, pivots outside the bucket's largest component meet every member of another component
-   and then leave the bucket. This goes on, with more pivots each time, until one component is left in each bucket.
+   comparison. Of the rest, members leave that cannot reach the threshold with any other, because too many of their
+   shingles occur in no other open set; then pivots meet every member of another component and leave as well. The
+   second pivot is the member with the fewest shingles of its own, which is the hub of a group of edited copies; later
+   ones are outside the bucket's largest component. This goes on, with more pivots each time, until one component is
+   left in each bucket.
 
 So no link that the buckets hold is lost, except where both ends are connected anyway, and the number of compared
-pairs is (members outside the largest component) x (members).
+pairs is (members outside the largest component that share enough with others) x (members).
 
 A pair is checked batch by batch of its signatures. After n hashes with m matches the similarity has the posterior
 Beta(m + 1, n - m + 1) under a uniform prior; the pair is dropped when the posterior probability of reaching the
@@ -41,8 +44,8 @@ MISS = 1e-5
 HASHES = 192
 #: Hashes compared before each look at the posterior.
 BATCH = 30
-#: Pivots of a bucket in the second round; each later round has four times as many.
-PIVOTS = 16
+#: After the second round, with one pivot for each bucket, each round has four times as many as the one before.
+GROWTH = 4
 #: Document ids up to this number (8 bytes each) are broadcast to the scan of texts; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -146,17 +149,79 @@ def _likely(pairs: DataFrame, percent: int, hashes: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(k, shingles) of the classes whose first document is in ids."""
+def _sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(k, shingles) of the classes in keys (k), from the first document of each."""
 
     def run(batches):
         for batch in batches:
             sets = [s for s in shingle_sets(batch.column(0), words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "shingles"])
 
+    ids = cut(reps.join(keys, "k", "left_semi").select("doc_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = text.alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    return wanted.select("text").mapInArrow(run, "k long, shingles binary").dropDuplicates(["k"])
+    sets = wanted.select("text").mapInArrow(run, "k long, shingles binary").dropDuplicates(["k"])
+    return cut(sets.join(keys, "k", "left_semi"))
+
+
+def _hopeful(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The entries (bucket, k, comp), with n and u, that may have a link to another: a set of n shingles, u of which no other open set
+    holds, reaches (n - u) / (max(s, n - u) + u) at most with sets of s shingles or more."""
+
+    def run(batches):
+        for batch in batches:
+            keys, values = batch.column(0).to_pylist(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            spread = np.repeat(np.array(keys, np.int64), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], ["k", "shingle"])
+
+    still = sets.join(entries.select("k").distinct(), "k", "left_semi").select("k", "shingles")
+    once = still.mapInArrow(run, "k long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n = 1")
+    alone = once.groupBy("k").agg(F.count("*").alias("u"))
+    sizes = reps.select("k", F.col("n_shingles").alias("n")).dropDuplicates(["k"])
+    sized = entries.join(sizes, "k").join(alone, "k", "left").fillna(0, ["u"]).withColumn("shared", F.col("n") - F.col("u"))
+    least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
+    reach = sized.join(least, "bucket").where(100 * F.col("shared") >= percent * (F.greatest("least", "shared") + F.col("n") - F.col("shared")))
+    return reach.select("bucket", "k", "comp", "n", "u")
+
+
+def _beside_hub(labelled: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """(k, hub, own, miss, rare): each open class beside one hub, the first pivot with the fewest shingles of its own
+    among its buckets': own shingles the hub lacks, miss of the hub's it lacks, rare of the own are in no other set."""
+
+    def run(batches):
+        for batch in batches:
+            own, miss = [], []
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                own.append(len(x) - both)
+                miss.append(len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(miss, pa.int64()), batch.column(2)], ["k", "hub", "own", "miss", "rare"])
+
+    near = labelled.join(chosen.select("bucket", "p", "p_u"), "bucket").groupBy("k").agg(F.min(F.struct("p_u", "p")).alias("h"), F.max("u").alias("rare"))
+    near = near.select("k", F.col("h.p").alias("hub"), "rare")
+    full = near.join(sets.select("k", "shingles"), "k").join(sets.select(F.col("k").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
+    return full.select("k", "hub", "rare", "shingles", "hub_shingles").mapInArrow(run, "k long, hub long, own long, miss long, rare long")
+
+
+def _within_reach(percent: int):
+    """Whether a member and a pivot (its columns named p_...) can be similar enough, by two bounds on the shingles that
+    only one of them holds. The pivot holds `other` that the member lacks, and the member `more` more than that. Beside
+    a common hub, they share no more of the hub's shingles than the one with more gaps has, and no rare ones."""
+    both = F.col("n") + F.col("p_n")
+    more = F.col("n") - F.col("p_n")
+    other = F.greatest(F.col("p_u"), F.col("u") - more, -more)
+    shared = F.least(F.col("own") - F.col("rare"), F.col("p_own") - F.col("p_rare"))
+    beside = F.col("own") + F.col("p_own") - 2 * shared + F.abs(F.col("miss") - F.col("p_miss"))
+    enough = lambda apart: 100 * (both - apart) >= percent * (both + apart)
+    return enough(2 * other + more) & ((F.col("hub") != F.col("p_hub")) | enough(beside))
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The entries (bucket, k, comp) of buckets that hold more than one component."""
+    mixed = entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return entries.join(mixed, "bucket", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -173,15 +238,13 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, hashes: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, hashes: int, sets: DataFrame | None = None) -> DataFrame:
     """Of pairs (a, b) of classes, those whose full sets are similar enough. reps: (k, doc_id, n_shingles, sig)."""
     sides = [reps.select(F.col("k").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")).dropDuplicates([x]) for x in "ab"]
     sized = pairs.join(sides[1], "b").join(sides[0], "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = cut(_likely(sized.select("a", "b", "sig_a", "sig_b"), percent, hashes))
-    needed = likely.select(F.col("a").alias("k")).union(likely.select(F.col("b").alias("k"))).distinct()
-    ids = cut(reps.join(needed, "k", "left_semi").select("doc_id").distinct())
-    sets = _sets(docs, F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, words)
-    sets = cut(sets.join(needed, "k", "left_semi"))
+    if sets is None:
+        sets = _sets(docs, reps, likely.select(F.col("a").alias("k")).union(likely.select(F.col("b").alias("k"))).distinct(), words)
     full = likely.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("shingles_b")), "b")
     full = full.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("shingles_a")), "a")
     return cut(_confirmed(full.select("a", "b", "shingles_a", "shingles_b"), percent))
@@ -229,24 +292,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     label = components(found)
     open_ = members.where("k <> pivot").select("bucket", "k").distinct()
 
-    pivots = PIVOTS
+    pivots, sets, places, frame = 1, None, None, None
     while True:
-        labelled = open_.join(label, "k", "left").select("bucket", "k", F.coalesce("comp", "k").alias("comp"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        labelled = cut(labelled.join(mixed, "bucket", "left_semi"))
+        labelled = cut(_mixed(open_.join(label, "k", "left").select("bucket", "k", F.coalesce("comp", "k").alias("comp"))))
+        if labelled.isEmpty():
+            break
+        if sets is None:
+            sets = _sets(docs, reps, labelled.select("k").distinct(), words)
+        labelled = cut(_mixed(_hopeful(labelled, reps, sets, percent)))
         if labelled.isEmpty():
             break
         main = labelled.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", "count").alias("main"))
-        order = Window.partitionBy("bucket").orderBy("k")
-        chosen = labelled.join(main, "bucket").where("comp <> main").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots)
-        chosen = cut(chosen.select("bucket", F.col("k").alias("p"), F.col("comp").alias("p_comp")))
-        pairs = labelled.join(chosen, "bucket").where("comp <> p_comp").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
-        more = links(docs, reps, pairs, words, percent, hashes)
+        if places is None:  # as many buckets as bands at most; a pair meets in the first bucket that both are in
+            places = cut(labelled.groupBy("k").agg(F.collect_list("bucket").alias("buckets")))
+        labelled = labelled.join(places, "k")
+        if frame is not None:
+            labelled = labelled.join(frame, "k")
+        order = Window.partitionBy("bucket").orderBy("u", "k")
+        outside = labelled.join(main, "bucket").where("comp <> main") if frame is not None else labelled
+        chosen = outside.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).drop("_r", "main").withColumnRenamed("k", "p")
+        chosen = cut(chosen.toDF(*[c if c in ("bucket", "p") else f"p_{c}" for c in chosen.columns]))
+        if frame is None:
+            frame = cut(_beside_hub(labelled, chosen, sets))
+            near = F.lit(True)
+        else:
+            near = _within_reach(percent)
+        pairs = labelled.join(chosen, "bucket").where((F.col("comp") != F.col("p_comp")) & near & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "p_buckets"))))
+        pairs = pairs.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
+        new = links(docs, reps, pairs, words, percent, hashes, sets)
         open_ = labelled.join(chosen.select("bucket", F.col("p").alias("k")), ["bucket", "k"], "left_anti").select("bucket", "k")
-        if not more.isEmpty():
-            found = found.union(more)
+        if not new.isEmpty():
+            found = found.union(new)
             label = components(found)
-        pivots *= 4
+        pivots *= GROWTH
 
     names = label.join(classes, "k").groupBy("comp").agg(F.min("doc_id").alias("name"))
     linked = label.join(names, "comp").select("k", "name")
@@ -254,3 +332,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = filled.select("doc_id", "n_shingles", "k").join(named, "k").select("doc_id", "n_shingles", "component_id")
     out = out.union(digest.where(F.col("k").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(True)))
+
+
+def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents whose group has a smaller doc_id, with all their columns."""
+    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = cut(gone.distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

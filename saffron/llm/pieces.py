@@ -19,9 +19,11 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries of a worker's table of distinct chunks.
 TABLE = 150_000
@@ -127,8 +129,8 @@ class Pieces:
             (table if len(chunk) <= LONG else extra)[chunk] = (",".join(map(str, ids)), self._spell(ids))
         return [table.get(c) or extra[c] for c in chunks]
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.entries(text) for i in ids.split(",")]
+    def encode(self, text: str) -> np.ndarray:
+        return np.fromstring(",".join([ids for ids, _ in self.entries(text)]), np.int32, sep=",")
 
 
 @lru_cache(maxsize=2)
@@ -137,6 +139,19 @@ def load(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
+def with_ids(docs: DataFrame, model_path: str, name: str = "ids") -> DataFrame:
+    """docs with a column of the ids of its text."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        pieces = load(model_path)
+        for batch in batches:
+            ids = pa.array([pieces.encode(t or "") for t in batch.column(place).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+
+
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, neardup, pieces, pii, quality, topk, toxicity
+from . import html_text, langid, media, mixing, neardup, pieces, pii, quality, topk, toxicity
 from ._spark import held_out, table
 
 
@@ -56,6 +56,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.visible_text(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), threshold=0.5)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_media": op7_media,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
 }
 
