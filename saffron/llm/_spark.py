@@ -54,7 +54,7 @@ def held_out(doc_id: Column) -> Column:
 def bounded_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int) -> DataFrame:
     """Texts of at most per_label rows of each label value, as (doc_id, text, label), chosen by a hash of doc_id.
 
-    labelled: (doc_id, <label>). The count of each value gives the share of ids to keep before the exact cut, so
+    labelled: (doc_id, <label>). An id that has several rows counts once, with its smallest label and text. The count of each value gives the share of ids to keep before the exact cut, so
     the rows that meet in one window task stay near per_label however large the corpus is.
     """
     usable = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -62,7 +62,9 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label:
     point = (F.xxhash64(F.col("doc_id"), F.lit("sample")) % 1_000_000_000 + 999_999_999) / 1_999_999_999
     # one row for each label value; broadcast, so that the rows aren't dealt out by label before most of them are gone
     likely = usable.join(F.broadcast(sizes), label).withColumn("_p", point).where(F.col("_p") <= F.lit(1.3 * per_label + 60) / F.col("_n"))
+    likely = likely.groupBy("doc_id").agg(F.min(label).alias(label), F.min("_p").alias("_p"))
     order = Window.partitionBy(label).orderBy("_p", "doc_id")
     chosen = likely.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).select("doc_id", label)
     # a row of the sample is two numbers: at most per_label of them for each label value, so this side is safe to broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)

@@ -63,7 +63,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, mo
     everything = Window.partitionBy()
     ranked = ranked.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(ratio)))
     ranked = ranked.withColumn("level", (F.col("total") - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "level"))).over(everything)["level"]
+    # the level falls from each source that could stop to the next, so the first that no source stops below is the highest
+    level = F.max(F.when(F.col("level") <= F.col("stop"), F.col("level"))).over(everything)
     return ranked.withColumn("share", level).select("source", "source_size", F.least(cap, F.coalesce(F.col("weight") * F.col("share"), cap)).alias("target"))
 
 

@@ -140,7 +140,8 @@ def load(model_path: str) -> Pieces:
 
 
 def with_ids(docs: DataFrame, model_path: str, name: str = "ids") -> DataFrame:
-    """docs with a column of the ids of its text."""
+    """docs with a column of the ids of its text, in place of a column of that name."""
+    docs = docs.drop(name)
     place = docs.columns.index("text")
 
     def run(batches):

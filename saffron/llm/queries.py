@@ -92,7 +92,7 @@ WITH d AS (
   SELECT *, (total - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM r WINDOW b AS (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), g AS (
-  SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, stop) FROM l WHERE level <= stop)) AS target FROM l
+  SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM l WHERE level <= stop)) AS target FROM l
 ), p AS (
   SELECT d.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS pos
