@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, mix, slices, span_hashes, word_bounds
-from ._spark import cut
+from ._spark import cut, release
 
 #: Probability with which the bands, or one step of the verification, miss a pair just at the threshold.
 MISS = 1e-5
@@ -265,6 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
         far = label.select(F.col("k").alias("to"), F.col("comp").alias("next"))
         moved = cut(moved.join(far, "to").select("k", F.col("comp").alias("was"), F.least("to", "next").alias("comp")))
         label = moved.select("k", "comp")
+        release(label.sparkSession)
         if moved.where("comp <> was").isEmpty():
             return label
 
@@ -325,6 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             found = found.union(new)
             label = components(found)
         pivots *= GROWTH
+        release(docs.sparkSession)
 
     names = label.join(classes, "k").groupBy("comp").agg(F.min("doc_id").alias("name"))
     linked = label.join(names, "comp").select("k", "name")
