@@ -33,7 +33,7 @@ def recipe_text(name: Column, keywords: Column, ingredients: Column) -> Column:
 
 
 def names_of(csv: Column) -> Column:
-    return F.filter(F.transform(F.split(csv, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truncated(text: Column, n: int) -> Column:

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import search, tables, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **tables.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **tables.ORACLE_SQL, **texts.ORACLE_SQL}

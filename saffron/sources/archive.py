@@ -43,7 +43,7 @@ def members(spark: SparkSession, folder: str, pattern: str = "*.epub") -> DataFr
 
 
 def _text(data: Column) -> Column:
-    return F.decode(data, "UTF-8")
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def package_path(rows: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def chapters(files: DataFrame) -> DataFrame:
 
 def contents(rows: DataFrame, files: DataFrame) -> DataFrame:
     """(book, place, path, text) of files in UTF-8; members that are absent or unreadable are left out."""
-    text = rows.select("book", "path", F.try_validate_utf8(_text(F.col("data"))).alias("text"))
+    text = rows.select("book", "path", F.try_validate_utf8(F.col("data").cast("string")).alias("text"))
     return files.join(text, ["book", "path"]).where("text is not null").select("book", "place", "path", "text")
 
 

@@ -29,7 +29,7 @@ def backfill(recipes: DataFrame, embeddings: DataFrame, embed, text) -> DataFram
     return embeddings.unionByName(embedded(todo, embed))
 
 
-def windowed_counts(spark: SparkSession, folder: str, schema, minutes: int = 60, late_minutes: int = 10) -> DataFrame:
-    """Events of a folder counted in tumbling windows by type, late ones within a watermark; an extension."""
-    events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def windowed_counts(spark: SparkSession, folder: str, schema, minutes: int = 60, late_minutes: int = 10, name: str = "*.parquet") -> DataFrame:
+    """Events of a folder's files counted in tumbling windows by type, late ones within a watermark; an extension."""
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", f"{late_minutes} minutes").groupBy(F.window("ts", f"{minutes} minutes"), "event_type").count()
