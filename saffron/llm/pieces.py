@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a worker's table of distinct chunks.
-TABLE = 150_000
+TABLE = 400_000
 #: Chunks of more characters than this are merged with a heap, and kept out of the table.
 LONG = 200
 MARK = "▁"
@@ -126,7 +126,8 @@ class Pieces:
         extra = {}
         for chunk in set(chunks).difference(table):
             ids = self.segment(chunk)
-            (table if len(chunk) <= LONG else extra)[chunk] = (",".join(map(str, ids)), self._spell(ids))
+            spelled = self._spell(ids)  # nearly always the chunk again, then one string serves for both
+            (table if len(chunk) <= LONG else extra)[chunk] = (",".join(map(str, ids)), chunk if spelled == chunk else spelled)
         return [table.get(c) or extra[c] for c in chunks]
 
     def encode(self, text: str) -> np.ndarray:
