@@ -1,7 +1,7 @@
 """Visible text of web pages by layout-aware rendering.
 
 A tree builder reads the page: end tags may be missing (an item ends the item before it, a block ends a paragraph, a
-cell ends a cell) and stray ones are passed over. The renderer walks the tree and writes what a reader would see:
+cell ends a cell, anything that may not stand in a head ends the head) and stray ones are passed over. The renderer walks the tree and writes what a reader would see:
 blocks on lines of their own, paragraphs and headings set off by a blank line, list items with their mark and indent,
 table cells in aligned columns, preformatted text as it is. Not visible are scripts, styles, the head, comments,
 templates, elements with the attribute hidden, and those styled display:none or visibility:hidden.
@@ -30,6 +30,8 @@ BLOCK = APART | frozenset("address article aside body caption center dd details
 #: What a start tag ends, and the elements beyond which it does not look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 ENDS |= {x: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for x in ("thead", "tbody", "tfoot")}
+#: What may stand in a head; any other start tag, text, and the end of body or html end an open head.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FENCES = frozenset({"td", "th", "li", "dd", "dt", "table", "caption", "body", "html", "div", "section", "article", "blockquote"})
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]++|<)""", re.S)
@@ -68,11 +70,15 @@ def parse(page: str) -> Node:
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
+            if stack[-1].tag == "head" and _BLANK.sub("", m[4]):
+                stack.pop()
             stack[-1].children.append(html.unescape(m[4]) if "&" in m[4] else m[4])
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if stack[-1].tag == "head" and (tag in ("body", "html", "br") if m[1] else tag not in HEAD):
+            stack.pop()
         if m[1]:
             if tag not in VOID:
                 _close(stack, {tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})

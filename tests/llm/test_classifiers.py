@@ -89,3 +89,14 @@ def test_no_visible_letter_of_a_page_is_lost(spark):
 )
 def test_rendering(page, text):
     assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><p>x</body></html>", "x"), ("<html><title>t</title><meta charset=utf-8><p>x", "x"), ("<head><style>s</style>\n<p>x", "x"), ("<head><title>t</title> words<p>x", "words\n\nx"),
+        ("<head><script>s</script></body>x", "x"), ("<head><template><p>no</p></template><div>x", "x"), ("<head><title>t</title></head>x", "x"), ("x<head>y<p>z", "xy\n\nz"),
+    ],
+)
+def test_a_head_ends_without_its_end_tag(page, text):
+    assert html_text.render(page) == text
