@@ -3,8 +3,11 @@
 A tree builder reads the page: end tags may be missing (an item ends the item before it, a block ends a paragraph, a
 cell ends a cell, anything that may not stand in a head ends the head) and stray ones are passed over. The renderer walks the tree and writes what a reader would see:
 blocks on lines of their own, paragraphs and headings set off by a blank line, list items with their mark and indent,
-table cells in aligned columns, preformatted text as it is. Not visible are scripts, styles, the head, comments,
-templates, elements with the attribute hidden, and those styled display:none or visibility:hidden.
+table cells in aligned columns, preformatted text as it is; each option of a choice, each text element of a drawing and
+the lines of a text field on lines of their own, formulas as their text. Not visible are scripts, styles, the head,
+titles, comments, templates, noscript, what stands in for embedded things (iframe, object, audio, video, canvas), the
+entries of a datalist, annotations of formulas, what a drawing only defines or says outside its text elements, elements
+with the attribute hidden, and those styled display:none or visibility:hidden.
 
 Defined results: null or empty html gives the empty text; elements nested deeper than DEPTH hang on the one at that
 depth, with all their text. Rows that repeat are rendered each for itself; extra columns are ignored.
@@ -23,13 +26,21 @@ DEPTH = 150
 
 #: Element names of the HTML standard by their part in layout and parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link svg math iframe object audio video canvas select datalist textarea".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 BLOCK = APART | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html hr legend li main menu nav section summary tr".split())
+#: Lines of their own that end no paragraph.
+LINES = frozenset("option optgroup textarea text".split())
+#: What a drawing or a formula does not show, and the start tags that end an open one.
+UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern symbol".split())
+OUTSIDE = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements of a drawing or a formula whose content is read as HTML again.
+ISLANDS = frozenset("foreignobject mtext mi mo mn ms".split())
 #: What a start tag ends, and the elements beyond which it does not look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 ENDS |= {x: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for x in ("thead", "tbody", "tfoot")}
+ENDS |= {"option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"})}
 #: What may stand in a head; any other start tag, text, and the end of body or html end an open head.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FENCES = frozenset({"td", "th", "li", "dd", "dt", "table", "caption", "body", "html", "div", "section", "article", "blockquote"})
@@ -41,10 +52,11 @@ _BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = ""):
+        """foreign: svg or math where the content is read by the rules of a drawing or a formula."""
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
     def seen(self) -> bool:
         return self.tag not in UNSEEN and "hidden" not in self.attrs and not _HIDDEN.search(self.attrs.get("style", ""))
@@ -62,11 +74,25 @@ def _close(stack: list[Node], tags: set[str], fences) -> None:
             return
 
 
+def _attributes(text: str) -> tuple[dict[str, str], bool]:
+    """The attributes of a tag and whether it closes itself; the slash of an unquoted value belongs to the value."""
+    attrs, end, value = {}, 0, ""
+    for m in _ATTRIBUTE.finditer(text):
+        end, value = m.end(), m[2] or ""
+        attrs[m[1].lower()] = value[1:-1] if value[:1] in "\"'" and value else value
+    return attrs, text.endswith("/") and not (end == len(text) and value.endswith("/"))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("html", {})
     stack, at = [root], 0
     while at < len(page):
+        if stack[-1].foreign and page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            stack[-1].children.append(page[at + 9 : end if end >= 0 else len(page)])
+            at = end + 3 if end >= 0 else len(page)
+            continue
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
@@ -83,15 +109,30 @@ def parse(page: str) -> Node:
             if tag not in VOID:
                 _close(stack, {tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})
             continue
+        if stack[-1].foreign and tag in OUTSIDE:
+            while stack[-1].foreign:
+                stack.pop()
+        attrs, closed = _attributes(m[3]) if m[3].strip(" \t\n\r\f/") else ({}, m[3].endswith("/"))
+        foreign = stack[-1].foreign or (tag if tag in ("svg", "math") else "")
+        if foreign:
+            if tag in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") == "hidden":
+                attrs["hidden"] = ""
+            node = Node(tag, attrs, "" if tag in ISLANDS else foreign)
+            stack[-1].children.append(node)
+            if not closed and len(stack) < DEPTH:
+                stack.append(node)
+            continue
         if tag in BLOCK:
             _close(stack, {"p"}, FENCES)
         if tag in ENDS:
             _close(stack, *ENDS[tag])
-        attrs = {a.lower(): v[1:-1] if v[:1] in "\"'" and v else v for a, v in _ATTRIBUTE.findall(m[3])} if m[3].strip(" \t\n\r\f/") else {}
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
+            if tag == "textarea":
+                field = page[at : end.start() if end else len(page)].replace("\r\n", "\n")
+                node.children.append(html.unescape(field.removeprefix("\n")))
             at = end.end() if end else len(page)
         elif tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
@@ -176,6 +217,16 @@ def _table(node: Node, canvas: Canvas) -> None:
             canvas.put_all(["  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip()])
 
 
+def _labels(node: Node):
+    """What a drawing shows: its text elements, and pages within it."""
+    for child in node.children:
+        if isinstance(child, Node) and child.seen():
+            if child.tag in ("text", "foreignobject"):
+                yield child
+            else:
+                yield from _labels(child)
+
+
 def _draw(node, canvas: Canvas, pre: bool) -> None:
     if isinstance(node, str):
         if pre:
@@ -193,6 +244,22 @@ def _draw(node, canvas: Canvas, pre: bool) -> None:
     if tag == "br":
         canvas.end_line()
         return
+    if tag == "svg":
+        for child in _labels(node):
+            canvas.end_line()
+            _draw(child, canvas, False)
+            canvas.end_line()
+        return
+    if tag in LINES and (tag != "text" or node.foreign == "svg"):
+        canvas.end_line()
+        label = node.attrs.get("label", "") if tag in ("option", "optgroup") else ""
+        if label:
+            canvas.text(html.unescape(label))
+            canvas.end_line()
+        for child in node.children if tag != "option" or not label else ():
+            _draw(child, canvas, pre or tag == "textarea")
+        canvas.end_line()
+        return
     if tag not in BLOCK:
         for child in node.children:
             _draw(child, canvas, pre)

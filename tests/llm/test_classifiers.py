@@ -100,3 +100,18 @@ def test_rendering(page, text):
 )
 def test_a_head_ends_without_its_end_tag(page, text):
     assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> b", "a x+1 b"), ("<p>a<svg width=5 /><p>b", "a\n\nb"), ("<div><math/>x</div>", "x"), ("<svg a=b/><text>t</text></svg>x", "t\nx"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs>no<g><text>one <tspan>two</tspan></text><text>three</text></g></svg>", "one two\nthree"), ("<svg><text display='none'>no</text><style>a>b</style></svg>x", "x"),
+        ("<svg><g><p>x", "x"), ("<svg><foreignObject><p>x</p></foreignObject></svg>", "x"), ("<math><mtext><![CDATA[no]]>y</mtext><ms><b>z</b></ms></math>", "yz"), ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"),
+        ("<p>Pick <select><option>A<option selected>B</select> now", "Pick\nA\nB\nnow"), ("<select><optgroup label='G &amp; H'><option label=L>no<optgroup label=I><option>C</select>", "G & H\nL\nI\nC"),
+        ("a<textarea>\n <b>x</b>\n  &amp; y</textarea>b", "a\n <b>x</b>\n  & y\nb"), ("<textarea hidden>no</textarea>x", "x"),
+        *[(f"a<{t}>no</{t}>b", "ab") for t in ("script", "style", "title", "template", "noscript", "iframe", "object", "audio", "video", "canvas", "datalist")], ("a<b style='visibility:hidden'>no</b>b", "ab"), ("a<link href=no><meta content=no>b", "ab"),
+    ],
+)
+def test_what_a_browser_shows_is_kept_and_the_rest_is_not(page, text):
+    assert html_text.render(page) == text
