@@ -30,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 BLOCK = 1024
 #: Chunks of each source's documents, a power of 16 as they are hexadecimal digits of a hash.
 CHUNK_DIGITS = 3
+#: Rows equal in id, source and size are ranked together within so many bits of a row's number in its partition.
+CHUNK_BITS = 14
 #: Slots ranked together.
 RUN = 1 << 16
 #: The golden section as an odd share of this modulus; a cell is what a source's interval is joined by.
@@ -139,17 +141,35 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, most: flo
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs as often as the mix begins them, with all their columns. A document that the mix begins is kept
-    whole, so a source passes its target by less than one document. Rows equal in id, source and size all get the
-    copies of the one taken most."""
-    sizes = cut(sized(docs))
-    goals = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ratio, most))
-    begun = F.greatest(F.lit(0), F.ceil((F.floor("target") - F.col("start")) / F.col("source_size"))).cast("int")
-    copies = placed(sizes, goals).where("size > 0").withColumn("n", begun).groupBy("doc_id", "source_key", "size").agg(F.max("n").alias("n")).where("n > 0")
-    names = [f"_{c}" for c in ("id", "source_key", "size", "n")]
-    while set(names) & set(docs.columns):
-        names = [f"_{c}" for c in names]
-    copies = copies.toDF(*names)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (_key(F.col("source").cast("string")) == F.col(names[1])) & (F.regexp_count(F.col("text"), F.lit(WORD)) == F.col(names[2]))
-    kept = docs.join(copies, same).withColumn(names[0], F.explode(F.sequence(F.lit(1), F.col(names[3]))))
-    return kept.select(*docs.columns)
+    """The rows of docs as often as the mix begins them, with all their columns, sorted by where the schedule begins each
+    copy: its slot, then its first word. A document that the mix begins is kept whole, so a source passes its target by
+    less than one document. Each row has its own place, also among rows equal in id, source and size; these are ranked
+    in chunks of the table and the chunks placed by their totals, so a group of any size is never in one task."""
+    row, n = "_row", 0
+    while row in docs.columns:
+        row, n = f"_row{n}", n + 1
+    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = ["source_key", "id", "size", "hash", "part"]
+    rows = kept.select(
+        F.col("doc_id").cast("long").cast("string").alias("id"),
+        F.col("source").cast("string").alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text).alias("hash"),
+        F.shiftright(row, CHUNK_BITS).alias("part"),
+        F.col(row).alias("row"),
+    )
+    rows = cut(rows.where("size > 0").withColumn("id", F.coalesce("id", F.lit(""))).withColumn("source_key", _key(F.col("source"))))
+    units = cut(rows.groupBy("source", *key).agg(F.sum("size").alias("words")))
+    goals = cut(targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ratio, most))
+    named = F.struct(F.col("id").try_cast("long").alias("doc_id"), *key[1:]).alias("doc_id")
+    starts = placed(units.select("source", F.md5("id").alias("place"), named, F.col("words").alias("size")), goals)
+    starts = starts.select("source_key", *[F.col(f"doc_id.{c}").alias(c) for c in key[1:]], "source_size", F.floor("target").cast("long").alias("goal"), "start")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("row")) - 1).join(starts, key)
+    ranked = ranked.withColumn("first", F.col("start") + F.col("rank") * F.col("size"))
+    last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("goal") / F.col("source_size")).cast("long") - 1)
+    begun = ranked.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    begun = begun.withColumn("first", F.col("first") + F.col("round") * F.col("source_size")).where("first < goal")
+    begun = begun.withColumn("block", F.expr(f"first div {BLOCK}")).join(schedule(goals), ["source_key", "block"])
+    begun = cut(begun.select(F.col("row").alias("_begun"), F.struct("slot", "first").alias("_at")))
+    return kept.alias("d").join(begun.alias("b"), F.col(f"d.{row}") == F.col("b._begun")).orderBy("b._at").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -94,3 +94,30 @@ def test_mixed_repeats_whole_documents(spark):
     want = brute_targets({"a": 300, "b": 100})
     assert all(want[s] <= 10 * n[s] < want[s] + 10 for s in "ab")
     assert max(Counter(r["doc_id"] for r in out.collect()).values()) <= 2
+
+
+@pytest.mark.parametrize("id_", [7, None])
+def test_equal_rows_each_have_their_own_copies(spark, id_):
+    # a's weight is three times b's, so b's target is half its size or so while a is doubled
+    rows = [(i, "w " * 10, "en", "a", 20) for i in range(300)] + [(id_, "w " * 10, "en", "b", 20)] * 700
+    sizes = {"a": 3000, "b": 7000, "c": 50000}
+    rows += [(1000 + i, "w " * 100, "en", "c", 200) for i in range(500)]
+    want = brute_targets(sizes)
+    n = Counter()
+    for r in mixing.mixed(docs(spark, rows).repartition(5)).collect():
+        n[r["source"]] += words(r["text"])
+    assert all(want[s] <= n[s] < want[s] + 100 for s in "abc")
+
+
+def test_equal_rows_of_a_source_lose_half(spark):
+    rows = [(None, "w " * 10, "en", "a", 20)] * 6000 + [(5, "w " * 10, "en", "b", 20)] * 1000 + [(i, "w " * 10, "en", "c", 20) for i in range(500)]
+    want = brute_targets({"a": 60000, "b": 10000, "c": 5000})
+    n = Counter(r["source"] for r in mixing.mixed(docs(spark, rows)).collect())
+    assert all(want[s] <= 10 * n[s] < want[s] + 10 for s in "abc")
+
+
+def test_mixed_rows_stand_in_the_order_of_the_schedule(spark):
+    rows = [(i, "w " * 16, "en", "a" if i < 4000 else "b", 32) for i in range(8000)]
+    out = [r["source"] for r in mixing.mixed(docs(spark, rows).repartition(3)).collect()]
+    total, half = Counter(out), Counter(out[: len(out) // 2])
+    assert all(abs(half[s] - total[s] / 2) <= 6 * mixing.BLOCK / 16 for s in "ab")
