@@ -26,3 +26,14 @@ def in_ranked(ids: DataFrame) -> DataFrame:
     """(recipe_id, position, previous_id, next_id) of one array of ranked ids, read off the array itself."""
     at = ids.select("ids", F.posexplode("ids").alias("position", "recipe_id"))
     return at.select("recipe_id", "position", F.get("ids", F.col("position") - 1).alias("previous_id"), F.get("ids", F.col("position") + 1).alias("next_id"))
+
+
+def in_ranked_rows(rows: DataFrame, chunk: list[str], order: list[str], id_: str) -> DataFrame:
+    """(recipe_id, position, previous_id, next_id) of ranked rows, for whole tables. chunk: columns without nulls that sort
+    the rows as order does, though coarser; ranks are taken within chunks and carried by their totals, one row a chunk."""
+    earlier = Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*chunk).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*chunk).orderBy(*order)) - 1).join(totals, chunk)
+    ranked = ranked.select(F.col(id_).alias("recipe_id"), (F.col("_before") + F.col("_place")).alias("position"))
+    beside = lambda step, name: ranked.select((F.col("position") + step).alias("position"), F.col("recipe_id").alias(name))
+    return ranked.join(beside(1, "previous_id"), "position", "left").join(beside(-1, "next_id"), "position", "left").select("recipe_id", "position", "previous_id", "next_id")

@@ -205,6 +205,13 @@ def nav_in_ranked(spark, d):
     return navigation.in_ranked(ids)
 
 
+@query("""SELECT vec_id AS recipe_id, row_number() OVER w - 1 AS position, lag(vec_id) OVER w AS previous_id, lead(vec_id) OVER w AS next_id FROM embeddings WINDOW w AS (ORDER BY vec_id % 7, vec_id)""")
+def nav_in_ranked_all(spark, d):
+    """nav_in_ranked over every vector."""
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("k"), F.floor(F.col("vec_id") / 16384).alias("part"))
+    return navigation.in_ranked_rows(rows, ["k", "part"], ["vec_id"], "vec_id")
+
+
 @query("""SELECT o_custkey AS book_id, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, count(*) AS n FROM orders GROUP BY 1
 UNION ALL SELECT -1 - c_custkey, -1, -1, 1 FROM customer WHERE c_custkey % 50 = 0""")
 def upsert_books(spark, d):
@@ -271,6 +278,14 @@ def list_toggle(spark, d):
     return mutations.toggle(c.list_items, pair)
 
 
+@query("""WITH li AS (SELECT DISTINCT l_suppkey AS list_id, l_orderkey AS recipe_id FROM lineitem), p AS (SELECT 1 + o_orderkey % 10 AS list_id, o_orderkey AS recipe_id FROM orders)
+(FROM li EXCEPT FROM p) UNION ALL (FROM p EXCEPT FROM li)""")
+def list_toggle_all(spark, d):
+    """list_toggle with one pair for every order."""
+    c = star_schema(spark, d)
+    return mutations.toggle(c.list_items, c.recipes.select((1 + F.col("id") % 10).alias("list_id"), F.col("id").alias("recipe_id")))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN ['F'] ELSE [o_orderstatus, 'F'] END AS tried FROM orders")
 def append_once(spark, d):
     return star_schema(spark, d).recipes.select("id", mutations.append_once(F.col("instructions"), F.lit("F")).alias("tried"))

@@ -116,3 +116,16 @@ def test_singulars(spark):
 def test_repeated_titles_keep_the_first(spark):
     rows = spark.createDataFrame([(1, 0, 0, "Soup"), (1, 1, 0, " soup "), (1, 1, 1, "Stew")], "report_id int, chapter int, place int, name string")
     assert sorted(r["name"] for r in workflow.without_repeats(rows).collect()) == ["Soup", "Stew"]
+
+
+def test_navigation_and_toggles_over_whole_tables(spark):
+    from saffron.queries.tables import QUERIES
+    from tests.conftest import SMALL
+
+    ids = [r[0] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()]
+    order = sorted(ids, key=lambda i: (i % 7, i))
+    have = sorted(QUERIES["nav_in_ranked_all"](spark, SMALL).collect(), key=lambda r: r["position"])
+    assert [tuple(r) for r in have] == [(x, i, order[i - 1] if i else None, order[i + 1] if i + 1 < len(order) else None) for i, x in enumerate(order)]
+    items = {(r[0], r[1]) for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey", "l_orderkey").collect()}
+    pairs = {(1 + r[0] % 10, r[0]) for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey").collect()}
+    assert {(r["list_id"], r["recipe_id"]) for r in QUERIES["list_toggle_all"](spark, SMALL).collect()} == items ^ pairs
