@@ -337,8 +337,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id, with all their columns."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    gone = cut(gone.distinct())
+    """docs with one row of each group, with all their columns: the row of the smallest doc_id, of its rows the first by a
+    hash of the text. Rows are told apart by their number, so a repeated id, a repeated row and a null id each count as a
+    row. A row without an id counts as a copy only of another such row, so of these one stays as well."""
+    row, n = "_row", 0
+    while row in docs.columns:
+        row, n = f"_row{n}", n + 1
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("r"), "component_id")
+    place = rows.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    groups = cut(groups.join(place, "r"))
+    first = groups.groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "hash", "r")).alias("first")).select(F.col("first.r").alias("r"))
+    gone = cut(groups.join(first, "r", "left_anti").select(F.col("r").alias("_gone")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return rows.join(gone, rows[row] == gone["_gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

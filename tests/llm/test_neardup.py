@@ -71,3 +71,10 @@ def test_first_of_each_keeps_columns(spark):
     out = neardup.first_of_each(df)
     assert out.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
+
+
+def test_first_of_each_decides_by_row(spark):
+    a, b = "a b c d e f g", "one two three four five six seven"
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b), (5, "q r s t u v w"), (5, "q r s t u v w"), (None, "k l m n o p"), (None, "k l m n o p"), (8, None), (8, None)]
+    out = sorted(((r["doc_id"], r["text"]) for r in neardup.first_of_each(docs(spark, rows, clash=True)).collect()), key=str)
+    assert out == sorted([(1, a), (2, b), (5, "q r s t u v w"), (None, "k l m n o p"), (8, None), (8, None)], key=str)
