@@ -1,24 +1,27 @@
 """Near-duplicate groups: banded MinHash candidates, sequential Bayesian verification, exact confirmation.
 
-A document's set holds its distinct k-word shingles as 64-bit hashes; documents with equal sets form one class,
-known by a 64-bit hash of the set, and only one document of each class is compared. Classes meet in the buckets of a
-banded signature. Each bucket compares pivots with its other members, never all pairs:
-
-1. the smallest class of a bucket is its first pivot and meets every other member;
-2. once the links found so far are turned into components, members of a bucket that are already connected need no
-   comparison. Of the rest, members leave that cannot reach the threshold with any other, because too many of their
-   shingles occur in no other open set; then pivots meet every member of another component and leave as well. The
-   second pivot is the member with the fewest shingles of its own, which is the hub of a group of edited copies; later
-   ones are outside the bucket's largest component. This goes on, with more pivots each time, until one component is
-   left in each bucket.
+A document's set holds its distinct k-word shingles as 64-bit hashes; documents with equal sets form one class, known
+by 128 bits of the full set, and only one document of each class is compared. Classes meet in the buckets of a banded
+signature, and each bucket compares pivots with its other members, never all pairs:
+
+1. The first pivot of a bucket is the member that meets most others over all its buckets, which is the hub of a group of
+   edited copies. It meets every other member.
+2. The links found become components. A bucket that is one component by now is done, as nothing in it can join more.
+   From the others classes leave that cannot reach the threshold with anything, because too many of their shingles
+   occur in no other open set. Then the classes outside their bucket's largest component meet every member of another
+   component, except where the distances to a common hub rule a link out. Only where they are very many, a share of
+   them goes first, so that what it links spares the rest comparisons.
 
 So no link that the buckets hold is lost, except where both ends are connected anyway, and the number of compared
-pairs is (members outside the largest component that share enough with others) x (members).
+pairs is (members outside the largest component that share enough with others) x (members in reach).
 
 A pair is checked batch by batch of its signatures. After n hashes with m matches the similarity has the posterior
 Beta(m + 1, n - m + 1) under a uniform prior; the pair is dropped when the posterior probability of reaching the
 threshold is below MISS. Survivors are confirmed on their full sets.
 
+Buckets, hubs and components may be hot. They are counted with partial sums, and joined from written tables, so that
+Spark's adaptive joins split them.
+
 Defined results: A null or wordless text has an empty set and is linked with nothing; with fewer than k words the
 whole sequence is the one shingle. Rows that repeat a doc_id each give a row, and their classes are compared like
 any others. A null doc_id is never a component's name unless a group holds no other. Extra columns are ignored.
@@ -28,39 +31,44 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, mix, slices, span_hashes, word_bounds
-from ._spark import cut, release
+from ._spark import cut
 
 #: Probability with which the bands, or one step of the verification, miss a pair just at the threshold.
 MISS = 1e-5
-#: Largest number of hash functions.
+#: Number of hash functions, unless a very low threshold needs more.
 HASHES = 192
 #: Hashes compared before each look at the posterior.
 BATCH = 30
-#: After the second round, with one pivot for each bucket, each round has four times as many as the one before.
-GROWTH = 4
+#: Comparisons for each open entry beyond which the last step takes its pivots in shares.
+ROUND = 1000
 #: Document ids up to this number (8 bytes each) are broadcast to the scan of texts; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
-_MULTIPLIERS = np.random.default_rng(8).integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SEEDS = np.random.default_rng(9).integers(0, 2**32, HASHES, dtype=np.uint32)
+
+@lru_cache
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(multipliers, seeds) of n hash functions; the first ones are the same for every n."""
+    odd = np.random.default_rng(8).integers(1, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return odd, np.random.default_rng(9).integers(0, 2**32, n, dtype=np.uint32)
 
 
 def band_plan(percent: int) -> tuple[int, int]:
     """(rows, bands): the longest bands with which a pair at the threshold is missed with MISS at most."""
     s = percent / 100
-    for rows in range(12, 1, -1):
+    for rows in range(12, 0, -1):
         bands = ceil(log(MISS) / log(1 - s**rows)) if s < 1 else 1
         if rows * bands <= HASHES:
-            return rows, bands
-    return 1, HASHES
+            break
+    return rows, bands
 
 
 def least_matches(n: int, percent: int) -> int:
@@ -99,31 +107,39 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 def signature(shingles: np.ndarray, hashes: int) -> bytes:
     """The low 16 bits of the smallest value of each hash function over the set."""
+    multipliers, seeds = _functions(hashes)
     least = np.full(hashes, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     for lo in range(0, len(x), 512):
-        values = (x[None, lo : lo + 512] ^ _SEEDS[:hashes, None]) * _MULTIPLIERS[:hashes, None]
+        values = (x[None, lo : lo + 512] ^ seeds[:, None]) * multipliers[:, None]
         np.minimum(least, values.min(axis=1), out=least)
     return least.astype("<u2").tobytes()
 
 
-def _class_key(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of the full set; two sets that differ share them with a probability of 2**-128."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def digests(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """(doc_id, n_shingles, k, sig) for each row; k names the set and is null if the set is empty."""
+    """(doc_id, n, h1, h2, sig) for each row; h1 and h2 name the set and are null, as is sig, if the set is empty."""
 
     def run(batches):
         for batch in batches:
             n, keys, sigs = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
-                keys.append(_class_key(s) if len(s) else None)
+                keys.append(_key(s) if len(s) else (None, None))
                 sigs.append(signature(s, hashes) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "k", "sig"])
+            h1, h2 = ([k[i] for k in keys] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, k long, sig binary")
+    return _text(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def _rows_of(column: pa.Array, width: int) -> np.ndarray:
@@ -149,125 +165,169 @@ def _likely(pairs: DataFrame, percent: int, hashes: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """(k, shingles) of the classes in keys (k), from the first document of each."""
+def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(k, shingles) of the classes (k, h1, h2, doc_id), from a second reading of their first documents."""
 
     def run(batches):
         for batch in batches:
             sets = [s for s in shingle_sets(batch.column(0), words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "shingles"])
+            keys = [_key(s) for s in sets]
+            h1, h2 = ([k[i] for k in keys] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "shingles"])
 
-    ids = cut(reps.join(keys, "k", "left_semi").select("doc_id").distinct())
+    ids = classes.select("doc_id")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = text.alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    sets = wanted.select("text").mapInArrow(run, "k long, shingles binary").dropDuplicates(["k"])
-    return cut(sets.join(keys, "k", "left_semi"))
-
-
-def _hopeful(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The entries (bucket, k, comp), with n and u, that may have a link to another: a set of n shingles, u of which no other open set
-    holds, reaches (n - u) / (max(s, n - u) + u) at most with sets of s shingles or more."""
-
-    def run(batches):
-        for batch in batches:
-            keys, values = batch.column(0).to_pylist(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            spread = np.repeat(np.array(keys, np.int64), [len(v) for v in values])
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], ["k", "shingle"])
-
-    still = sets.join(entries.select("k").distinct(), "k", "left_semi").select("k", "shingles")
-    once = still.mapInArrow(run, "k long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n = 1")
-    alone = once.groupBy("k").agg(F.count("*").alias("u"))
-    sizes = reps.select("k", F.col("n_shingles").alias("n")).dropDuplicates(["k"])
-    sized = entries.join(sizes, "k").join(alone, "k", "left").fillna(0, ["u"]).withColumn("shared", F.col("n") - F.col("u"))
-    least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
-    reach = sized.join(least, "bucket").where(100 * F.col("shared") >= percent * (F.greatest("least", "shared") + F.col("n") - F.col("shared")))
-    return reach.select("bucket", "k", "comp", "n", "u")
+    wanted = _text(docs).alias("t").join(ids.alias("i"), F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
+    sets = wanted.select("text").mapInArrow(run, "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    return cut(sets.join(classes.select("h1", "h2", "k"), ["h1", "h2"]).select("k", "shingles"))
 
 
-def _beside_hub(labelled: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
-    """(k, hub, own, miss, rare): each open class beside one hub, the first pivot with the fewest shingles of its own
-    among its buckets': own shingles the hub lacks, miss of the hub's it lacks, rare of the own are in no other set."""
+def _compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """(a, b, own, miss, linked) of the pairs (a, b) that their signatures do not rule out: own shingles only a holds, miss
+    only b holds, both counted on the full sets; linked if the two are similar enough."""
 
     def run(batches):
         for batch in batches:
-            own, miss = [], []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            own, miss, linked = [], [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 own.append(len(x) - both)
                 miss.append(len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(miss, pa.int64()), batch.column(2)], ["k", "hub", "own", "miss", "rare"])
-
-    near = labelled.join(chosen.select("bucket", "p", "p_u"), "bucket").groupBy("k").agg(F.min(F.struct("p_u", "p")).alias("h"), F.max("u").alias("rare"))
-    near = near.select("k", F.col("h.p").alias("hub"), "rare")
-    full = near.join(sets.select("k", "shingles"), "k").join(sets.select(F.col("k").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
-    return full.select("k", "hub", "rare", "shingles", "hub_shingles").mapInArrow(run, "k long, hub long, own long, miss long, rare long")
-
-
-def _within_reach(percent: int):
-    """Whether a member and a pivot (its columns named p_...) can be similar enough, by two bounds on the shingles that
-    only one of them holds. The pivot holds `other` that the member lacks, and the member `more` more than that. Beside
-    a common hub, they share no more of the hub's shingles than the one with more gaps has, and no rare ones."""
-    both = F.col("n") + F.col("p_n")
-    more = F.col("n") - F.col("p_n")
-    other = F.greatest(F.col("p_u"), F.col("u") - more, -more)
-    shared = F.least(F.col("own") - F.col("rare"), F.col("p_own") - F.col("p_rare"))
-    beside = F.col("own") + F.col("p_own") - 2 * shared + F.abs(F.col("miss") - F.col("p_miss"))
-    enough = lambda apart: 100 * (both - apart) >= percent * (both + apart)
-    return enough(2 * other + more) & ((F.col("hub") != F.col("p_hub")) | enough(beside))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(miss, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "own", "miss", "linked"])
 
+    sides = [classes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    sized = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    likely = cut(_likely(sized.select("a", "b", "sig_a", "sig_b"), percent, hashes))
+    full = likely.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("shingles_a")), "a")
+    full = full.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("shingles_b")), "b")
+    return cut(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long, own long, miss long, linked boolean"))
 
-def _mixed(entries: DataFrame) -> DataFrame:
-    """The entries (bucket, k, comp) of buckets that hold more than one component."""
-    mixed = entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return entries.join(mixed, "bucket", "left_semi")
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what the given ones do, from each node of a partition straight to the smallest node
+    that the partition connects it with. Holds the nodes of one partition."""
 
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        above: dict[int, int] = {}
 
-    return pairs.mapInArrow(run, "a long, b long")
+        def top(x: int) -> int:
+            root = x
+            while (up := above.setdefault(root, root)) != root:
+                root = up
+            while above[x] != root:
+                above[x], x = root, above[x]
+            return root
 
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                above[max(a, b)] = min(a, b)
+        rows = [(x, top(x)) for x in list(above)]
+        for lo in range(0, len(rows), 10_000):
+            a, b = zip(*rows[lo : lo + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, hashes: int, sets: DataFrame | None = None) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full sets are similar enough. reps: (k, doc_id, n_shingles, sig)."""
-    sides = [reps.select(F.col("k").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")).dropDuplicates([x]) for x in "ab"]
-    sized = pairs.join(sides[1], "b").join(sides[0], "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = cut(_likely(sized.select("a", "b", "sig_a", "sig_b"), percent, hashes))
-    if sets is None:
-        sets = _sets(docs, reps, likely.select(F.col("a").alias("k")).union(likely.select(F.col("b").alias("k"))).distinct(), words)
-    full = likely.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-    full = full.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-    return cut(_confirmed(full.select("a", "b", "shingles_a", "shingles_b"), percent))
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(k, comp) for each end of edges (a, b): comp is the smallest k that it is connected with.
 
-    Each round takes the smallest label among a node's neighbours, then the label of that label, so a path of
-    length d needs about log d rounds.
+    Each partition's edges first shrink to stars. Then each round takes the smallest label among a node's neighbours,
+    and the label of that label, so a path of d stars needs about log d rounds.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("k"), F.min("b")).alias("comp"))
-    label = cut(label)
+    edges = cut(_forest(edges))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = cut(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("k"), F.min("b")).alias("comp")))
     while True:
         near = both.join(label.select(F.col("k").alias("b"), "comp"), "b").groupBy(F.col("a").alias("k")).agg(F.min("comp").alias("near"))
-        moved = label.join(near, "k").select("k", "comp", F.least("comp", "near").alias("to"))
-        far = label.select(F.col("k").alias("to"), F.col("comp").alias("next"))
-        moved = cut(moved.join(far, "to").select("k", F.col("comp").alias("was"), F.least("to", "next").alias("comp")))
-        label = moved.select("k", "comp")
-        release(label.sparkSession)
+        moved = cut(label.join(near, "k").select("k", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")))
         if moved.where("comp <> was").isEmpty():
             return label
+        far = moved.select(F.col("k").alias("comp"), F.col("comp").alias("next"))
+        label = cut(moved.join(far, "comp").select("k", F.least("comp", "next").alias("comp")))
+
+
+def _frame(open_: DataFrame, sets: DataFrame, compared: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(k, u, hub, own, miss) of the classes of open_ (k, n) that may have a link to another: u of its n shingles are in
+    no other set of open_ or hubs, so it reaches (n - u) / n at most. hub is the nearest pivot it was compared with."""
+
+    def run(batches):
+        for batch in batches:
+            keys, values = batch.column(0).to_pylist(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            spread = np.repeat(np.array(keys, np.int64), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], ["k", "shingle"])
+
+    classes = open_.select("k", "n").distinct()
+    counted = sets.join(classes.select("k").union(hubs).distinct(), "k", "left_semi").select("k", "shingles")
+    once = counted.mapInArrow(run, "k long, shingle long").groupBy("shingle").agg(F.count("*").alias("held"), F.min("k").alias("k")).where("held = 1")
+    alone = once.groupBy("k").agg(F.count("*").alias("u"))
+    nearest = compared.groupBy(F.col("a").alias("k")).agg(F.min_by(F.struct(F.col("b").alias("hub"), "own", "miss"), F.col("own") + F.col("miss")).alias("h"))
+    framed = classes.join(alone, "k", "left").join(nearest, "k", "left").select("k", "n", F.coalesce("u", F.lit(0).cast("long")).alias("u"), "h.hub", "h.own", "h.miss")
+    return cut(framed.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).drop("n"))
+
+
+def _within_reach(percent: int):
+    """Whether a member and a pivot (its columns named p_...) can be similar enough, by two bounds on the shingles that
+    only one of them holds. The pivot holds `other` that the member lacks, and the member `more` more than that. Beside
+    a common hub, they share no more of the hub's shingles than the one with more gaps has, and none that no other set
+    holds; the hub lacks all of those."""
+    both = F.col("n") + F.col("p_n")
+    more = F.col("n") - F.col("p_n")
+    other = F.greatest(F.col("p_u"), F.col("u") - more, -more)
+    shared = F.least(F.col("own") - F.col("u"), F.col("p_own") - F.col("p_u"))
+    beside = F.col("own") + F.col("p_own") - 2 * shared + F.abs(F.col("miss") - F.col("p_miss"))
+    enough = lambda apart: 100 * (both - apart) >= percent * (both + apart)
+    return enough(2 * other + more) & F.coalesce((F.col("hub") != F.col("p_hub")) | enough(beside), F.lit(True))
+
+
+def _open_entries(members: DataFrame, label: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(bucket, k, n, comp, p) of the members, without the pivots, of buckets that hold more than one component."""
+    labelled = cut(members.join(label, "k", "left").select("bucket", "k", "n", F.coalesce("comp", "k").alias("comp")))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = cut(mixed.join(pivots, "bucket"))
+    return cut(labelled.join(mixed, "bucket").where("k <> p"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, percent: int, hashes: int) -> DataFrame:
+    """(k, comp) of the classes (k, n, sig, h1, h2, doc_id, score) that have links: their components, through the pairs
+    that meet in the buckets of members (bucket, k, n)."""
+    sets = _sets(docs, classes, words)
+    pivots = cut(members.join(classes.select("k", "score"), "k").groupBy("bucket").agg(F.max_by("k", "score").alias("p")))
+    pairs = members.join(pivots, "bucket").where("k <> p").select(F.col("k").alias("a"), F.col("p").alias("b")).distinct()
+    compared = _compared(pairs, classes, sets, percent, hashes)
+    label = components(compared.where("linked"))
+
+    entries = _open_entries(members, label, pivots)
+    if entries.isEmpty():
+        return label
+    frame = _frame(entries, sets, compared, entries.select(F.col("p").alias("k")), percent)
+    entries = cut(entries.drop("p").join(frame, "k"))
+    turn = 0
+    while True:
+        parts = entries.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket")
+        parts = cut(parts.agg(F.max_by("comp", "size").alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1").drop("comps"))
+        entries = cut(entries.join(parts, "bucket"))
+        work = entries.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("size"))).alias("pairs")).first()
+        if not work["rows"]:
+            return label
+        # all at once, unless the outsiders are so many that linking some of them first spares comparisons
+        share = min(1.0, ROUND * work["rows"] / work["pairs"])
+        turn += 1
+        outside = entries.where(F.col("comp") != F.col("main"))
+        chosen = outside.where(F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else outside
+        chosen = chosen.drop("main", "size").withColumnRenamed("k", "p")
+        chosen = chosen.toDF(*[c if c in ("bucket", "p") else f"p_{c}" for c in chosen.columns])
+        pairs = entries.join(chosen, "bucket").where((F.col("comp") != F.col("p_comp")) & _within_reach(percent))
+        new = _compared(pairs.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct(), classes, sets, percent, hashes).where("linked")
+        if not new.isEmpty():
+            label = components(label.select(F.col("k").alias("a"), F.col("comp").alias("b")).union(new.select("a", "b")))
+        if share == 1:
+            return label
+        rest = entries.drop("main", "size", "comp").join(chosen.select(F.col("p").alias("k")).distinct(), "k", "left_anti")
+        entries = cut(rest.join(label, "k", "left").withColumn("comp", F.coalesce("comp", "k")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -279,60 +339,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows, bands = band_plan(percent)
     hashes = rows * bands
     digest = cut(digests(docs, words, hashes))
-    filled = digest.where(F.col("k").isNotNull())
-    classes = cut(filled.groupBy("k").agg(F.min("doc_id").alias("doc_id")))
-    first = classes.select(F.col("k").alias("ck"), F.col("doc_id").alias("cid"))
-    reps = cut(filled.join(first, (F.col("k") == F.col("ck")) & F.col("doc_id").eqNullSafe(F.col("cid"))).select("k", "doc_id", "n_shingles", "sig"))
+    filled = digest.where(F.col("h1").isNotNull())
+    classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(classes.withColumn("k", F.monotonically_increasing_id()))
 
     keys = [F.xxhash64(F.substring("sig", 2 * rows * i + 1, 2 * rows), F.lit(i)) for i in range(bands)]
-    entries = reps.select("k", F.explode(F.array(*keys)).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("k").alias("pivot"), F.max("k").alias("top")).where("pivot <> top").drop("top")
-    members = cut(entries.join(shared, "bucket"))
-    pairs = members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct()
-    found = links(docs, reps, pairs, words, percent, hashes)
-    label = components(found)
-    open_ = members.where("k <> pivot").select("bucket", "k").distinct()
-
-    pivots, sets, places, frame = 1, None, None, None
-    while True:
-        labelled = cut(_mixed(open_.join(label, "k", "left").select("bucket", "k", F.coalesce("comp", "k").alias("comp"))))
-        if labelled.isEmpty():
-            break
-        if sets is None:
-            sets = _sets(docs, reps, labelled.select("k").distinct(), words)
-        labelled = cut(_mixed(_hopeful(labelled, reps, sets, percent)))
-        if labelled.isEmpty():
-            break
-        main = labelled.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", "count").alias("main"))
-        if places is None:  # as many buckets as bands at most; a pair meets in the first bucket that both are in
-            places = cut(labelled.groupBy("k").agg(F.collect_list("bucket").alias("buckets")))
-        labelled = labelled.join(places, "k")
-        if frame is not None:
-            labelled = labelled.join(frame, "k")
-        order = Window.partitionBy("bucket").orderBy("u", "k")
-        outside = labelled.join(main, "bucket").where("comp <> main") if frame is not None else labelled
-        chosen = outside.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).drop("_r", "main").withColumnRenamed("k", "p")
-        chosen = cut(chosen.toDF(*[c if c in ("bucket", "p") else f"p_{c}" for c in chosen.columns]))
-        if frame is None:
-            frame = cut(_beside_hub(labelled, chosen, sets))
-            near = F.lit(True)
-        else:
-            near = _within_reach(percent)
-        pairs = labelled.join(chosen, "bucket").where((F.col("comp") != F.col("p_comp")) & near & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "p_buckets"))))
-        pairs = pairs.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
-        new = links(docs, reps, pairs, words, percent, hashes, sets)
-        open_ = labelled.join(chosen.select("bucket", F.col("p").alias("k")), ["bucket", "k"], "left_anti").select("bucket", "k")
-        if not new.isEmpty():
-            found = found.union(new)
-            label = components(found)
-        pivots *= GROWTH
-        release(docs.sparkSession)
-
-    names = label.join(classes, "k").groupBy("comp").agg(F.min("doc_id").alias("name"))
-    linked = label.join(names, "comp").select("k", "name")
-    named = classes.join(linked, "k", "left").select("k", F.coalesce("name", "doc_id").alias("component_id"))
-    out = filled.select("doc_id", "n_shingles", "k").join(named, "k").select("doc_id", "n_shingles", "component_id")
-    out = out.union(digest.where(F.col("k").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    entries = classes.select("k", "n", F.explode(F.array(*keys)).alias("bucket"))
+    sizes = cut(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    members = cut(entries.join(sizes, "bucket"))
+    meeting = cut(classes.join(members.groupBy("k").agg(F.sum("size").alias("score")), "k"))
+    if meeting.isEmpty():
+        named = classes.select("h1", "h2", F.col("doc_id").alias("component_id"))
+    else:
+        label = _links(docs, meeting, members.drop("size"), words, percent, hashes)
+        names = cut(label.join(meeting.select("k", "doc_id"), "k").groupBy("comp").agg(F.min("doc_id").alias("name")))
+        named = classes.join(label.join(names, "comp").select("k", "name"), "k", "left").select("h1", "h2", F.coalesce("name", "doc_id").alias("component_id"))
+    out = filled.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = out.union(digest.where(F.col("h1").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(True)))
 
 
