@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
