@@ -10,8 +10,9 @@ cumulative block counts of the sources map to a source. The r-th slot of a sourc
 got no slot, as the schedule is off by a few slots, follows after the last one. So any stretch of the mix holds each
 source nearly at its share, and each source's words come to its target exactly.
 
-Ranks and running sums are taken within chunks of a source (CHUNKS by hash for documents, RUN slots for the schedule)
-and carried over by the chunks' totals, so no task holds a source.
+Ranks and running sums are taken within chunks of a source (by the first CHUNK_DIGITS of a hash for documents, RUN slots
+for the schedule) and carried over by the chunks' totals, so no task holds a source. Rows equal in id and size are one
+unit in this order, so that rows of one id, or without one, are few units however many they are.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
 last in order; an empty table gives an empty mix. Rows that repeat take their own places; rows equal in id, source and
@@ -40,13 +41,12 @@ CELL = 1 << 21
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, place): size in words, place the hash that orders a source."""
+    """(doc_id, source, size): size in words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"),
     )
 
 
@@ -82,7 +82,8 @@ def _before(totals: DataFrame, by: str, chunk: str, value: str) -> DataFrame:
 
 
 def placed(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source_key, doc_id, size, source_size, target, start): each row with its first word's place in its source."""
+    """(source_key, doc_id, size, source_size, target, start): each unit of sizes (source, place, doc_id, size) with its
+    first word's place in its source, in the order of place, doc_id, size."""
     keyed = sizes.select(_key(F.col("source")).alias("source_key"), F.substring("place", 1, CHUNK_DIGITS).alias("chunk"), "place", "doc_id", "size")
     totals = keyed.groupBy("source_key", "chunk").agg(F.sum("size").alias("words"))
     base = _before(totals, "source_key", "chunk", "words").join(goals.select(_key(F.col("source")).alias("source_key"), "source_size", "target"), "source_key")
@@ -93,15 +94,15 @@ def placed(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def pieces(rows: DataFrame) -> DataFrame:
-    """(source_key, block, doc_id, start, words): the part of each row of placed() that each block holds."""
-    goal = rows.where("size > 0").withColumn("goal", F.floor("target").cast("long"))
+    """(source_key, block, row, start, words): the part of each row of _ranked() that each block holds."""
+    goal = rows.withColumn("goal", F.floor("target").cast("long"))
     last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("goal") / F.col("source_size")).cast("long") - 1)
     taken = goal.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     taken = taken.withColumn("lo", F.col("start") + F.col("round") * F.col("source_size"))
     taken = taken.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("goal"))).where("lo < hi")
     taken = taken.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {BLOCK}"), F.expr(f"(hi - 1) div {BLOCK}"))))
     words = F.least("hi", (F.col("block") + 1) * BLOCK) - F.greatest("lo", F.col("block") * BLOCK)
-    return taken.select("source_key", "block", "doc_id", "start", words.alias("words"))
+    return taken.select("source_key", "block", "row", "start", words.alias("words"))
 
 
 def schedule(goals: DataFrame) -> DataFrame:
@@ -124,52 +125,67 @@ def schedule(goals: DataFrame) -> DataFrame:
     ranked = drawn.withColumn("rank", F.row_number().over(in_run) - 1).join(per_run.select("source_key", "run", "before"), ["source_key", "run"])
     ranked = ranked.select("source_key", (F.col("before") + F.col("rank")).alias("block"), "slot")
     blocks = counts.select("source_key", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    return blocks.join(ranked, ["source_key", "block"], "left").select(F.coalesce("slot", F.col("slots") + F.col("block")).alias("slot"), "source_key", "block")
+    return blocks.join(ranked.hint("merge"), ["source_key", "block"], "left").select(F.coalesce("slot", F.col("slots") + F.col("block")).alias("slot"), "source_key", "block")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in a written table, and the number's column."""
+    row, n = "_row", 0
+    while row in docs.columns:
+        row, n = f"_row{n}", n + 1
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
+def _ranked(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """rows (row, source_key, source, id, size, hash) with source_size, target and start, where their first word stands
+    in their source. Rows equal in id, source, size and hash are one unit in the order, by parts of the table, and are
+    ranked within a part, so a group of any size is never in one task."""
+    key = ["source_key", "id", "size", "hash", "part"]
+    rows = rows.withColumn("part", F.shiftright("row", CHUNK_BITS))
+    units = rows.groupBy("source", *key).agg(F.sum("size").alias("words"))
+    named = F.struct(F.col("id").try_cast("long").alias("doc_id"), *key[1:]).alias("doc_id")
+    starts = placed(units.select("source", F.md5("id").alias("place"), named, F.col("words").alias("size")), goals)
+    starts = starts.select("source_key", *[F.col(f"doc_id.{c}").alias(c) for c in key[1:]], "source_size", "target", "start")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("row")) - 1).join(starts.hint("merge"), key)
+    return ranked.select("row", "source_key", "size", "source_size", "target", (F.col("start") + F.col("rank") * F.col("size")).alias("start"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(documents, plan): documents has (doc_id, size, source_size, target, taken) for each row of docs (doc_id, text,
-    source); plan has (slot, source_key, block, doc_id, start, words), the mix in the order of slot, then start."""
-    sizes = cut(sized(docs))
+    """(documents, plan): documents has (doc_id, size, source_size, target, taken, first_slot, n_slots) for each row of
+    docs (doc_id, text, source); plan has (slot, source_key, block, row, start, words), the mix in the order of slot, then
+    start. taken are the words of a row that the plan's slots hold, first_slot and n_slots the first of these and how
+    many there are."""
+    sizes = cut(_numbered(sized(docs))[0].withColumnRenamed("_row", "row"))
     goals = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ratio, most))
-    rows = cut(placed(sizes, goals))
-    plan = pieces(rows).join(schedule(goals), ["source_key", "block"])
-    per_row = plan.groupBy("source_key", "start").agg(F.sum("words").alias("words"))  # no two rows of words begin at one place
-    taken = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
-    documents = rows.join(per_row, ["source_key", "start"], "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
-    return documents, plan
+    some = sizes.where("size > 0").select("row", "source", _key(F.col("source")).alias("source_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size", F.lit(0).alias("hash"))
+    rows = cut(_ranked(some, goals))
+    plan = cut(pieces(rows).join(schedule(goals).hint("merge"), ["source_key", "block"]))
+    per_row = plan.groupBy("row").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    of_source = goals.select(_key(F.col("source")).alias("source_key"), "source_size", "target")
+    documents = sizes.withColumn("source_key", _key(F.col("source"))).join(of_source, "source_key").join(per_row.hint("merge"), "row", "left")
+    return documents.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots")), plan
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, ratio: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of docs as often as the mix begins them, with all their columns, sorted by where the schedule begins each
     copy: its slot, then its first word. A document that the mix begins is kept whole, so a source passes its target by
-    less than one document. Each row has its own place, also among rows equal in id, source and size; these are ranked
-    in chunks of the table and the chunks placed by their totals, so a group of any size is never in one task."""
-    row, n = "_row", 0
-    while row in docs.columns:
-        row, n = f"_row{n}", n + 1
-    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    less than one document. Each row has its own place, also among rows equal in id, source and size."""
+    kept, row = _numbered(docs)
+    kept = cut(kept)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = ["source_key", "id", "size", "hash", "part"]
     rows = kept.select(
-        F.col("doc_id").cast("long").cast("string").alias("id"),
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(text).alias("hash"),
-        F.shiftright(row, CHUNK_BITS).alias("part"),
         F.col(row).alias("row"),
     )
-    rows = cut(rows.where("size > 0").withColumn("id", F.coalesce("id", F.lit(""))).withColumn("source_key", _key(F.col("source"))))
-    units = cut(rows.groupBy("source", *key).agg(F.sum("size").alias("words")))
-    goals = cut(targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ratio, most))
-    named = F.struct(F.col("id").try_cast("long").alias("doc_id"), *key[1:]).alias("doc_id")
-    starts = placed(units.select("source", F.md5("id").alias("place"), named, F.col("words").alias("size")), goals)
-    starts = starts.select("source_key", *[F.col(f"doc_id.{c}").alias(c) for c in key[1:]], "source_size", F.floor("target").cast("long").alias("goal"), "start")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("row")) - 1).join(starts, key)
-    ranked = ranked.withColumn("first", F.col("start") + F.col("rank") * F.col("size"))
+    rows = cut(rows.where("size > 0").withColumn("source_key", _key(F.col("source"))))
+    goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ratio, most))
+    ranked = _ranked(rows, goals).withColumn("goal", F.floor("target").cast("long"))
     last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("goal") / F.col("source_size")).cast("long") - 1)
     begun = ranked.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    begun = begun.withColumn("first", F.col("first") + F.col("round") * F.col("source_size")).where("first < goal")
-    begun = begun.withColumn("block", F.expr(f"first div {BLOCK}")).join(schedule(goals), ["source_key", "block"])
+    begun = begun.withColumn("first", F.col("start") + F.col("round") * F.col("source_size")).where("first < goal")
+    begun = begun.withColumn("block", F.expr(f"first div {BLOCK}")).join(schedule(goals).hint("merge"), ["source_key", "block"])
     begun = cut(begun.select(F.col("row").alias("_begun"), F.struct("slot", "first").alias("_at")))
     return kept.alias("d").join(begun.alias("b"), F.col(f"d.{row}") == F.col("b._begun")).orderBy("b._at").select(*[F.col(f"d.`{c}`") for c in docs.columns])

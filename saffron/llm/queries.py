@@ -98,8 +98,25 @@ WITH d AS (
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS pos
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
+, n AS (
+  SELECT *, CAST(coalesce(sum(blocks) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(blocks) OVER () AS BIGINT) AS slots
+  FROM (SELECT source, coalesce('=' || source, '-') AS name, CAST(ceil(floor(target) / 1024) AS BIGINT) AS blocks FROM g) WHERE blocks > 0
+), t AS (
+  SELECT n.source, n.slots, x.slot, row_number() OVER (PARTITION BY name ORDER BY x.slot) - 1 AS block
+  FROM (SELECT unnest(range((SELECT max(slots) FROM n))) AS slot) x
+  JOIN n ON x.slot * 1327217885 % 2147483648 >= floor(before / slots * 2147483648) AND x.slot * 1327217885 % 2147483648 < floor((before + blocks) / slots * 2147483648)
+), m AS (
+  SELECT p.*, r.round, pos + r.round * source_size AS lo, least(pos + r.round * source_size + size, goal) AS hi FROM p, (VALUES (0), (1)) r(round) WHERE size > 0
+), h AS (
+  SELECT doc_id, source, pos, unnest(range(CAST(lo // 1024 AS BIGINT), CAST((hi - 1) // 1024 AS BIGINT) + 1)) AS block FROM m WHERE lo < hi
+), f AS (
+  SELECT h.doc_id AS f_id, h.pos AS f_pos, h.source AS f_source, min(coalesce(t.slot, n.slots + h.block)) AS first_slot, count(*) AS n_slots
+  FROM h JOIN n ON h.source IS NOT DISTINCT FROM n.source LEFT JOIN t ON h.source IS NOT DISTINCT FROM t.source AND h.block = t.block GROUP BY ALL
+)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size) AS BIGINT) AS taken FROM p
+  CAST(greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size) AS BIGINT) AS taken,
+  CAST(first_slot AS BIGINT) AS first_slot, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots
+FROM p LEFT JOIN f ON size > 0 AND doc_id IS NOT DISTINCT FROM f_id AND pos = f_pos AND source IS NOT DISTINCT FROM f_source
 """,
     "op3_top_k": r"""
 WITH v AS (
