@@ -4,16 +4,16 @@ A document's set holds its distinct k-word shingles as 64-bit hashes; documents
 by 128 bits of the full set, and only one document of each class is compared. Classes meet in the buckets of a banded
 signature, and each bucket compares pivots with its other members, never all pairs:
 
-1. The first pivot of a bucket is the member that meets most others over all its buckets, which is the hub of a group of
-   edited copies. It meets every other member.
-2. The links found become components. A bucket that is one component by now is done, as nothing in it can join more.
-   From the others classes leave that cannot reach the threshold with anything, because too many of their shingles
-   occur in no other open set. Then the classes outside their bucket's largest component meet every member of another
-   component, except where the distances to a common hub rule a link out. Only where they are very many, a share of
-   them goes first, so that what it links spares the rest comparisons.
+1. The pivot of a bucket is the member that meets most others over all its buckets, which is the hub of a group of edited
+   copies. It meets every other member.
+2. The links found become components. A bucket that is one component by now is done, as nothing in it can join more. In
+   the others each member is described by what it differs in from the pivot. A member x that is not linked to the pivot
+   differs from it in more than the threshold allows, so another member y is only similar enough if it shares more than
+   about half of its own differences with x. Pairs are therefore looked up by x's differences among the rarest half of
+   y's, and kept if enough are common. Copies that were each edited for themselves share hardly any, so a large group
+   of them gives few pairs.
 
-So no link that the buckets hold is lost, except where both ends are connected anyway, and the number of compared
-pairs is (members outside the largest component that share enough with others) x (members in reach).
+So no link that the buckets hold is lost, except where both ends are connected anyway.
 
 A pair is checked batch by batch of its signatures. After n hashes with m matches the similarity has the posterior
 Beta(m + 1, n - m + 1) under a uniform prior; the pair is dropped when the posterior probability of reaching the
@@ -36,7 +36,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, mix, slices, span_hashes, word_bounds
@@ -48,8 +48,6 @@ MISS = 1e-5
 HASHES = 192
 #: Hashes compared before each look at the posterior.
 BATCH = 30
-#: Comparisons for each open entry beyond which the last step takes its pivots in shares.
-ROUND = 1000
 #: Document ids up to this number (8 bytes each) are broadcast to the scan of texts; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -182,27 +180,25 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return cut(sets.join(classes.select("h1", "h2", "k"), ["h1", "h2"]).select("k", "shingles"))
 
 
-def _compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """(a, b, own, miss, linked) of the pairs (a, b) that their signatures do not rule out: own shingles only a holds, miss
-    only b holds, both counted on the full sets; linked if the two are similar enough."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """The pairs (a, b) that their signatures do not rule out and whose full sets are similar enough."""
 
     def run(batches):
         for batch in batches:
-            own, miss, linked = [], [], []
+            keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                own.append(len(x) - both)
-                miss.append(len(y) - both)
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(miss, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "own", "miss", "linked"])
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     sides = [classes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
     sized = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = cut(_likely(sized.select("a", "b", "sig_a", "sig_b"), percent, hashes))
     full = likely.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("shingles_a")), "a")
     full = full.join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-    return cut(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long, own long, miss long, linked boolean"))
+    return cut(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long"))
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -250,84 +246,70 @@ def components(edges: DataFrame) -> DataFrame:
         label = cut(moved.join(far, "comp").select("k", F.least("comp", "next").alias("comp")))
 
 
-def _frame(open_: DataFrame, sets: DataFrame, compared: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(k, u, hub, own, miss) of the classes of open_ (k, n) that may have a link to another: u of its n shingles are in
-    no other set of open_ or hubs, so it reaches (n - u) / n at most. hub is the nearest pivot it was compared with."""
+def _open_entries(members: DataFrame, label: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(bucket, k, comp, p, p_comp) of the members, without the pivots, of buckets that hold more than one component."""
+    labelled = cut(members.join(label, "k", "left").select("bucket", "k", F.coalesce("comp", "k").alias("comp")))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    of_pivot = label.select(F.col("k").alias("p"), F.col("comp").alias("p_comp"))
+    mixed = cut(mixed.join(pivots, "bucket").join(of_pivot, "p", "left").withColumn("p_comp", F.coalesce("p_comp", "p")))
+    return labelled.join(mixed, "bucket").where("k <> p")
 
-    def run(batches):
-        for batch in batches:
-            keys, values = batch.column(0).to_pylist(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            spread = np.repeat(np.array(keys, np.int64), [len(v) for v in values])
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], ["k", "shingle"])
-
-    classes = open_.select("k", "n").distinct()
-    counted = sets.join(classes.select("k").union(hubs).distinct(), "k", "left_semi").select("k", "shingles")
-    once = counted.mapInArrow(run, "k long, shingle long").groupBy("shingle").agg(F.count("*").alias("held"), F.min("k").alias("k")).where("held = 1")
-    alone = once.groupBy("k").agg(F.count("*").alias("u"))
-    nearest = compared.groupBy(F.col("a").alias("k")).agg(F.min_by(F.struct(F.col("b").alias("hub"), "own", "miss"), F.col("own") + F.col("miss")).alias("h"))
-    framed = classes.join(alone, "k", "left").join(nearest, "k", "left").select("k", "n", F.coalesce("u", F.lit(0).cast("long")).alias("u"), "h.hub", "h.own", "h.miss")
-    return cut(framed.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).drop("n"))
-
-
-def _within_reach(percent: int):
-    """Whether a member and a pivot (its columns named p_...) can be similar enough, by two bounds on the shingles that
-    only one of them holds. The pivot holds `other` that the member lacks, and the member `more` more than that. Beside
-    a common hub, they share no more of the hub's shingles than the one with more gaps has, and none that no other set
-    holds; the hub lacks all of those."""
-    both = F.col("n") + F.col("p_n")
-    more = F.col("n") - F.col("p_n")
-    other = F.greatest(F.col("p_u"), F.col("u") - more, -more)
-    shared = F.least(F.col("own") - F.col("u"), F.col("p_own") - F.col("p_u"))
-    beside = F.col("own") + F.col("p_own") - 2 * shared + F.abs(F.col("miss") - F.col("p_miss"))
-    enough = lambda apart: 100 * (both - apart) >= percent * (both + apart)
-    return enough(2 * other + more) & F.coalesce((F.col("hub") != F.col("p_hub")) | enough(beside), F.lit(True))
 
+def _differences(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, k, comp, outside, n, size, need, items) for each class k and pivot p of entries: items are the `size` shingles that
+    only one of them holds, outside whether k is of another component than p. A link between k and a class outside
+    needs `need` common items: the one outside has more items than the threshold lets it differ from p."""
 
-def _open_entries(members: DataFrame, label: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(bucket, k, n, comp, p) of the members, without the pivots, of buckets that hold more than one component."""
-    labelled = cut(members.join(label, "k", "left").select("bucket", "k", "n", F.coalesce("comp", "k").alias("comp")))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    mixed = cut(mixed.join(pivots, "bucket"))
-    return cut(labelled.join(mixed, "bucket").where("k <> p"))
+    def run(batches):
+        for batch in batches:
+            n, size, need, items = [], [], [], []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                items.append(np.setxor1d(x, y, assume_unique=True))
+                n.append(len(x))
+                size.append(len(items[-1]))
+                need.append((size[-1] * (100 + percent) + (100 - percent) * (len(y) - len(x))) // (2 * (100 + percent)) + 1)
+            offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*items, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(need, pa.int64()), lists], ["p", "k", "comp", "outside", "n", "size", "need", "items"])
+
+    pairs = entries.select("p", "k", "comp", (F.col("comp") != F.col("p_comp")).alias("outside")).distinct()
+    full = pairs.join(sets.select("k", F.col("shingles").alias("own")), "k").join(sets.select(F.col("k").alias("p"), F.col("shingles").alias("other")), "p")
+    return cut(full.select("p", "k", "comp", "outside", "own", "other").mapInArrow(run, "p long, k long, comp long, outside boolean, n long, size long, need long, items array<long>"))
+
+
+def _beside_pivots(differences: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes of two components, compared with one pivot, that can be linked by what they differ in
+    from it. Of two such classes one at least is outside, and the two share `need` items of the other. So it is enough to
+    look up the items of the one outside among the rarest ones of the other, all but need - 1 of them."""
+    items = differences.select("p", "k", F.explode("items").alias("item"))
+    held = cut(items.groupBy("p", "item").agg(F.count("*").alias("held")).where("held > 1"))
+    of_class = Window.partitionBy("p", "k")
+    ranked = items.join(held, ["p", "item"]).select("*", F.row_number().over(of_class.orderBy("held", "item")).alias("rank"), F.count("*").over(of_class).alias("usable"))
+    ranked = cut(ranked.join(differences.drop("items"), ["p", "k"]).where("usable >= need").drop("held"))
+    side = lambda rows, x: rows.select("p", "item", *[F.col(c).alias(f"{c}_{x}") for c in ("k", "comp", "n", "size", "usable", "need")])
+    met = side(ranked.where("outside"), "x").join(side(ranked.where("rank <= usable - need + 1"), "y"), ["p", "item"]).where("comp_x <> comp_y")
+    enough = lambda common: (100 + percent) * (F.col("size_x") + F.col("size_y") - 2 * common) <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    met = met.where(enough(F.least("usable_x", "usable_y"))).groupBy("p", "k_x", "k_y", "size_x", "size_y", "n_x", "n_y", "need_y").agg(F.count("*").alias("common"))
+    met = met.where(enough(F.col("common") + F.col("need_y") - 1))
+    return met.select(F.least("k_x", "k_y").alias("a"), F.greatest("k_x", "k_y").alias("b")).distinct()
 
 
 def _links(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, percent: int, hashes: int) -> DataFrame:
     """(k, comp) of the classes (k, n, sig, h1, h2, doc_id, score) that have links: their components, through the pairs
-    that meet in the buckets of members (bucket, k, n)."""
+    that meet in the buckets of members (bucket, k)."""
     sets = _sets(docs, classes, words)
     pivots = cut(members.join(classes.select("k", "score"), "k").groupBy("bucket").agg(F.max_by("k", "score").alias("p")))
     pairs = members.join(pivots, "bucket").where("k <> p").select(F.col("k").alias("a"), F.col("p").alias("b")).distinct()
-    compared = _compared(pairs, classes, sets, percent, hashes)
-    label = components(compared.where("linked"))
-
-    entries = _open_entries(members, label, pivots)
-    if entries.isEmpty():
+    found = _confirmed(pairs, classes, sets, percent, hashes)
+    label = components(found)
+    differences = _differences(_open_entries(members, label, pivots), sets, percent)
+    if differences.isEmpty():
         return label
-    frame = _frame(entries, sets, compared, entries.select(F.col("p").alias("k")), percent)
-    entries = cut(entries.drop("p").join(frame, "k"))
-    turn = 0
-    while True:
-        parts = entries.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket")
-        parts = cut(parts.agg(F.max_by("comp", "size").alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1").drop("comps"))
-        entries = cut(entries.join(parts, "bucket"))
-        work = entries.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("size"))).alias("pairs")).first()
-        if not work["rows"]:
-            return label
-        # all at once, unless the outsiders are so many that linking some of them first spares comparisons
-        share = min(1.0, ROUND * work["rows"] / work["pairs"])
-        turn += 1
-        outside = entries.where(F.col("comp") != F.col("main"))
-        chosen = outside.where(F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else outside
-        chosen = chosen.drop("main", "size").withColumnRenamed("k", "p")
-        chosen = chosen.toDF(*[c if c in ("bucket", "p") else f"p_{c}" for c in chosen.columns])
-        pairs = entries.join(chosen, "bucket").where((F.col("comp") != F.col("p_comp")) & _within_reach(percent))
-        new = _compared(pairs.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct(), classes, sets, percent, hashes).where("linked")
-        if not new.isEmpty():
-            label = components(label.select(F.col("k").alias("a"), F.col("comp").alias("b")).union(new.select("a", "b")))
-        if share == 1:
-            return label
-        rest = entries.drop("main", "size", "comp").join(chosen.select(F.col("p").alias("k")).distinct(), "k", "left_anti")
-        entries = cut(rest.join(label, "k", "left").withColumn("comp", F.coalesce("comp", "k")))
+    new = _confirmed(_beside_pivots(differences, percent), classes, sets, percent, hashes)
+    if new.isEmpty():
+        return label
+    return components(label.select(F.col("k").alias("a"), F.col("comp").alias("b")).union(new))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -344,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = cut(classes.withColumn("k", F.monotonically_increasing_id()))
 
     keys = [F.xxhash64(F.substring("sig", 2 * rows * i + 1, 2 * rows), F.lit(i)) for i in range(bands)]
-    entries = classes.select("k", "n", F.explode(F.array(*keys)).alias("bucket"))
+    entries = classes.select("k", F.explode(F.array(*keys)).alias("bucket"))
     sizes = cut(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     members = cut(entries.join(sizes, "bucket"))
     meeting = cut(classes.join(members.groupBy("k").agg(F.sum("size").alias("score")), "k"))
