@@ -27,8 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files and checkpoints of results that nothing refers to any more. Between the rounds
-    of a loop they would else stay on the executors' disks until the driver happens to collect its garbage."""
+    """Lets Spark delete the shuffle files of steps whose results have been written by cut(). Spark does so once the
+    driver has collected the objects of a step as garbage, which may else be long after. (It deletes the files of cut()
+    likewise, but only under spark.cleaner.referenceTracking.cleanCheckpoints.)"""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

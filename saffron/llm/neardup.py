@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, mix, slices, span_hashes, word_bounds
-from ._spark import cut
+from ._spark import cut, release
 
 #: Probability with which the bands, or one step of the verification, miss a pair just at the threshold.
 MISS = 1e-5
@@ -241,6 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("k").alias("b"), "comp"), "b").groupBy(F.col("a").alias("k")).agg(F.min("comp").alias("near"))
         moved = cut(label.join(near, "k").select("k", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")))
         if moved.where("comp <> was").isEmpty():
+            release(label.sparkSession)
             return label
         far = moved.select(F.col("k").alias("comp"), F.col("comp").alias("next"))
         label = cut(moved.join(far, "comp").select("k", F.least("comp", "next").alias("comp")))
@@ -302,8 +303,11 @@ def _links(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int,
     pivots = cut(members.join(classes.select("k", "score"), "k").groupBy("bucket").agg(F.max_by("k", "score").alias("p")))
     pairs = members.join(pivots, "bucket").where("k <> p").select(F.col("k").alias("a"), F.col("p").alias("b")).distinct()
     found = _confirmed(pairs, classes, sets, percent, hashes)
+    del pairs
+    release(docs.sparkSession)
     label = components(found)
     differences = _differences(_open_entries(members, label, pivots), sets, percent)
+    release(docs.sparkSession)
     if differences.isEmpty():
         return label
     new = _confirmed(_beside_pivots(differences, percent), classes, sets, percent, hashes)
@@ -330,6 +334,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = cut(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     members = cut(entries.join(sizes, "bucket"))
     meeting = cut(classes.join(members.groupBy("k").agg(F.sum("size").alias("score")), "k"))
+    del entries
+    release(docs.sparkSession)
     if meeting.isEmpty():
         named = classes.select("h1", "h2", F.col("doc_id").alias("component_id"))
     else:
