@@ -9,8 +9,10 @@ titles, comments, templates, noscript, what stands in for embedded things (ifram
 entries of a datalist, annotations of formulas, what a drawing only defines or says outside its text elements, elements
 with the attribute hidden, and those styled display:none or visibility:hidden.
 
-Defined results: null or empty html gives the empty text; elements nested deeper than DEPTH hang on the one at that
-depth, with all their text. Rows that repeat are rendered each for itself; extra columns are ignored.
+A page is read once from its start to its end, and the tree is walked with a stack, so neither long broken pages nor deep
+ones are a matter of their own. A cell that spans columns fills them, one that spans rows leaves its place free below.
+
+Defined results: null or empty html gives the empty text. Rows that repeat are rendered each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 150
-
 #: Element names of the HTML standard by their part in layout and parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist".split())
@@ -45,7 +45,10 @@ ENDS |= {"option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup":
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FENCES = frozenset({"td", "th", "li", "dd", "dt", "table", "caption", "body", "html", "div", "section", "article", "blockquote"})
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]++|<)""", re.S)
+#: A tag up to its name; what is no tag.
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_TEXT = re.compile(r"[^<]++|<[^<]*+")
+_OUTSIDE_QUOTES = re.compile(r"""[^'">]*+""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f\v]+")
@@ -83,9 +86,36 @@ def _attributes(text: str) -> tuple[dict[str, str], bool]:
     return attrs, text.endswith("/") and not (end == len(text) and value.endswith("/"))
 
 
+class _Tags:
+    """Finds where the tags of a page end. What was scanned without success is remembered, so that a page full of
+    unclosed tags is still read in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.closers, self.run = page, set(), {}, (0, -1)
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at `at`, quotes being passed over, or -1."""
+        path = []
+        while at not in self.dead:
+            path.append(at)
+            if not self.run[0] <= at <= self.run[1]:
+                self.run = (at, _OUTSIDE_QUOTES.match(self.page, at).end())
+            stop = self.run[1]
+            mark = self.page[stop : stop + 1]
+            if mark == ">":
+                return stop
+            if mark and stop not in self.closers:
+                self.closers[stop] = self.page.find(mark, stop + 1)
+            if not mark or self.closers[stop] < 0:
+                break
+            at = self.closers[stop] + 1
+        self.dead.update(path)
+        return -1
+
+
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
-    root = Node("html", {})
+    root, tags = Node("html", {}), _Tags(page)
     stack, at = [root], 0
     while at < len(page):
         if stack[-1].foreign and page.startswith("<![CDATA[", at):
@@ -93,33 +123,39 @@ def parse(page: str) -> Node:
             stack[-1].children.append(page[at + 9 : end if end >= 0 else len(page)])
             at = end + 3 if end >= 0 else len(page)
             continue
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m[4] is not None:
-            if stack[-1].tag == "head" and _BLANK.sub("", m[4]):
-                stack.pop()
-            stack[-1].children.append(html.unescape(m[4]) if "&" in m[4] else m[4])
+        if page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(mark, at + (4 if mark == "-->" else 2))
+            at = end + len(mark) if end >= 0 else len(page)
             continue
-        if m[2] is None:
+        m = _TAG.match(page, at)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            m = _TEXT.match(page, at)
+            at = m.end()
+            if stack[-1].tag == "head" and _BLANK.sub("", m[0]):
+                stack.pop()
+            stack[-1].children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
             continue
-        tag = m[2].lower()
-        if stack[-1].tag == "head" and (tag in ("body", "html", "br") if m[1] else tag not in HEAD):
+        at, closes, inner = end + 1, page[at + 1] == "/", page[m.end() : end]
+        tag = m[1].lower()
+        if stack[-1].tag == "head" and (tag in ("body", "html", "br") if closes else tag not in HEAD):
             stack.pop()
-        if m[1]:
+        if closes:
             if tag not in VOID:
                 _close(stack, {tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})
             continue
         if stack[-1].foreign and tag in OUTSIDE:
             while stack[-1].foreign:
                 stack.pop()
-        attrs, closed = _attributes(m[3]) if m[3].strip(" \t\n\r\f/") else ({}, m[3].endswith("/"))
+        attrs, closed = _attributes(inner) if inner.strip(" \t\n\r\f/") else ({}, inner.endswith("/"))
         foreign = stack[-1].foreign or (tag if tag in ("svg", "math") else "")
         if foreign:
             if tag in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") == "hidden":
                 attrs["hidden"] = ""
             node = Node(tag, attrs, "" if tag in ISLANDS else foreign)
             stack[-1].children.append(node)
-            if not closed and len(stack) < DEPTH:
+            if not closed:
                 stack.append(node)
             continue
         if tag in BLOCK:
@@ -129,12 +165,12 @@ def parse(page: str) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
+            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at) if page.rfind(">", at) >= 0 else None
             if tag == "textarea":
                 field = page[at : end.start() if end else len(page)].replace("\r\n", "\n")
                 node.children.append(html.unescape(field.removeprefix("\n")))
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID:
             stack.append(node)
     return root
 
@@ -177,57 +213,94 @@ class Canvas:
             self._put(line)
 
 
-def _inside(node: Node, pre: bool = False) -> list[str]:
+def _walk(task):
+    """Runs a generator that yields generators, each in place of a call, without depth; the result of the first."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _inside(node: Node, pre: bool = False):
     canvas = Canvas()
     for child in node.children:
-        _draw(child, canvas, pre)
+        yield _draw(child, canvas, pre)
     canvas.end_line()
     return canvas.lines
 
 
-def _item(node: Node, mark: str) -> list[str]:
-    lines = _inside(node)
+def _item(node: Node, mark: str):
+    lines = yield _inside(node)
     return [(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines)]
 
 
-def _rows(node: Node):
-    for child in node.children:
+def _seen_below(node: Node, wanted: frozenset, through):
+    """The visible elements of `wanted` under a node, in order, looked for inside those that `through` allows."""
+    left = list(reversed(node.children))
+    while left:
+        child = left.pop()
         if isinstance(child, Node) and child.seen():
-            if child.tag == "tr":
+            if child.tag in wanted:
                 yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+            elif through(child):
+                left += reversed(child.children)
 
 
-def _table(node: Node, canvas: Canvas) -> None:
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return min(most, int(value)) if re.fullmatch("[0-9]{1,9}", value) and int(value) else 1
+
+
+def _table(node: Node, canvas: Canvas):
     for child in node.children:  # what stands in a table outside its rows is shown before it
         if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot"):
-            _draw(child, canvas, False)
-    grid = [[_inside(c) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and c.seen()] for row in _rows(node)]
-    loose = [[c for c in row.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("td", "th")] for row in _rows(node)]
-    widths: dict[int, int] = {}
-    for row in grid:
-        for i, cell in enumerate(row):
-            widths[i] = max(widths.get(i, 0), *map(len, cell), 0)
+            yield _draw(child, canvas, False)
+    rows = list(_seen_below(node, frozenset({"tr"}), lambda x: x.tag in ("thead", "tbody", "tfoot")))
+    grid, below = [], {}  # below: column -> rows for which a cell from above still fills it
+    for row in rows:
+        line, column = [], 0
+        for cell in row.children:
+            if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.seen():
+                while below.get(column, 0) > 0:
+                    column += 1
+                width, height = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+                line.append((column, width, (yield _inside(cell))))
+                for c in range(column, column + width):
+                    below[c] = height
+                column += width
+        below = {c: n - 1 for c, n in below.items() if n > 1}
+        grid.append(line)
+    columns = max((column + 1 for line in grid for column, _, _ in line), default=0)
+    widths = [0] * columns
+    for line in grid:
+        for column, width, cell in line:
+            if min(width, columns - column) == 1:
+                widths[column] = max(widths[column], *map(len, cell), 0)
+    for line in grid:
+        for column, width, cell in line:
+            last = min(column + width, columns) - 1
+            if last > column:  # what its columns lack for it, the last of them gets
+                widths[last] += max(0, max(map(len, cell), default=0) - sum(widths[column : last + 1]) - 2 * (last - column))
+    starts = [sum(widths[:c]) + 2 * c for c in range(columns)]
     canvas.end_line()
-    for row, others in zip(grid, loose, strict=True):
-        for other in others:
-            _draw(other, canvas, False)
-        for k in range(max(map(len, row), default=0)):
-            canvas.put_all(["  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip()])
-
-
-def _labels(node: Node):
-    """What a drawing shows: its text elements, and pages within it."""
-    for child in node.children:
-        if isinstance(child, Node) and child.seen():
-            if child.tag in ("text", "foreignobject"):
-                yield child
-            else:
-                yield from _labels(child)
-
-
-def _draw(node, canvas: Canvas, pre: bool) -> None:
+    for row, line in zip(rows, grid, strict=True):
+        for other in row.children:
+            if isinstance(other, str) and other.strip() or isinstance(other, Node) and other.tag not in ("td", "th"):
+                yield _draw(other, canvas, False)
+        for k in range(max((len(cell) for _, _, cell in line), default=0)):
+            text = ""
+            for column, _, cell in line:
+                if k < len(cell):
+                    text = text.ljust(starts[column]) + cell[k]
+            canvas.put_all([text.rstrip()])
+
+
+def _draw(node, canvas: Canvas, pre: bool):
     if isinstance(node, str):
         if pre:
             first, *rest = node.split("\n")
@@ -244,10 +317,10 @@ def _draw(node, canvas: Canvas, pre: bool) -> None:
     if tag == "br":
         canvas.end_line()
         return
-    if tag == "svg":
-        for child in _labels(node):
+    if tag == "svg":  # a drawing shows its text elements, and pages within it
+        for child in _seen_below(node, frozenset({"text", "foreignobject"}), lambda _: True):
             canvas.end_line()
-            _draw(child, canvas, False)
+            yield _draw(child, canvas, False)
             canvas.end_line()
         return
     if tag in LINES and (tag != "text" or node.foreign == "svg"):
@@ -257,12 +330,12 @@ def _draw(node, canvas: Canvas, pre: bool) -> None:
             canvas.text(html.unescape(label))
             canvas.end_line()
         for child in node.children if tag != "option" or not label else ():
-            _draw(child, canvas, pre or tag == "textarea")
+            yield _draw(child, canvas, pre or tag == "textarea")
         canvas.end_line()
         return
     if tag not in BLOCK:
         for child in node.children:
-            _draw(child, canvas, pre)
+            yield _draw(child, canvas, pre)
         return
     canvas.end_line(gap=tag in APART)
     if tag in ("ul", "ol", "menu"):
@@ -270,25 +343,25 @@ def _draw(node, canvas: Canvas, pre: bool) -> None:
         number = int(start) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1
         for child in node.children:
             if isinstance(child, Node) and child.tag == "li" and child.seen():
-                canvas.put_all(_item(child, f"{number}. " if tag == "ol" else "- "))
+                canvas.put_all((yield _item(child, f"{number}. " if tag == "ol" else "- ")))
                 number += 1
             else:
-                _draw(child, canvas, False)
+                yield _draw(child, canvas, False)
     elif tag == "table":
-        _table(node, canvas)
+        yield _table(node, canvas)
     elif tag in ("dd", "blockquote"):
-        canvas.put_all([f"  {x}" if x else x for x in _inside(node)])
+        canvas.put_all([f"  {x}" if x else x for x in (yield _inside(node))])
     elif tag == "li":
-        canvas.put_all(_item(node, "- "))
+        canvas.put_all((yield _item(node, "- ")))
     else:
         for child in node.children:
-            _draw(child, canvas, pre or tag == "pre")
+            yield _draw(child, canvas, pre or tag == "pre")
     canvas.end_line(gap=tag in APART)
 
 
 def render(page: str | None) -> str:
     """The visible text of a page, lines joined by line feeds."""
-    return "\n".join(_inside(parse(page))) if page else ""
+    return "\n".join(_walk(_inside(parse(page)))) if page else ""
 
 
 def visible_text(pages: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+    return toxicity.located(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), threshold=0.5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -12,8 +12,9 @@ Reading a list in step for all queries of a block makes both bounds products of
 counts as max(value, depth reached) in the upper bound.
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part, nor do rows without
-vec_id. Vectors that are shorter are read with zeros after their end. Of rows that share a vec_id the first by vector
-stands for all. Ties go to the smaller vec_id; with fewer candidates than k all are returned. Extra columns are ignored.
+vec_id. Vectors that are shorter are read with zeros after their end. Rows that share a vec_id are candidates each for
+itself, and where it is a query's, what any of them finds is ranked together; none of them is a candidate of another.
+Ties go to the smaller vec_id; with fewer candidates than k all are returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ DEPTHS = (0.5, 0.9)
 
 
 def quantised(vectors: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, one row for each vec_id, of vectors that take part."""
+    """(vec_id, v): floor(scale * x) of each component, of vectors that take part."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
@@ -43,16 +44,14 @@ def _packed(rows: DataFrame, block, name: str) -> DataFrame:
     """One row for each block: its ids and vectors as bytes. A block has about as many rows as its size says."""
 
     def pack(key, table):
-        rows = {}
-        for i, v in sorted(zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist(), strict=True)):
-            rows.setdefault(i, v)
-        width = max(map(len, rows.values()))
-        matrix = np.array([v + [0] * (width - len(v)) for v in rows.values()], np.int64)
+        rows = sorted(zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist(), strict=True))
+        width = max(len(v) for _, v in rows)
+        matrix = np.array([v + [0] * (width - len(v)) for _, v in rows], np.int64)
         for kind in ("<i2", "<i4"):
             if (matrix.astype(kind) == matrix).all():
                 matrix = matrix.astype(kind)
                 break
-        return pa.table({name: [key[0].as_py()], f"{name}_ids": [np.array(list(rows), np.int64).tobytes()], f"{name}_rows": [matrix.tobytes()], f"{name}_width": [width]})
+        return pa.table({name: [key[0].as_py()], f"{name}_ids": [np.array([i for i, _ in rows], np.int64).tobytes()], f"{name}_rows": [matrix.tobytes()], f"{name}_width": [width]})
 
     blocked = rows.withColumn("_block", block)
     return blocked.groupBy("_block").applyInArrow(pack, f"{name} long, {name}_ids binary, {name}_rows binary, {name}_width long")
@@ -112,12 +111,12 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, va
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose vec_id is divisible by `every`."""
-    rows = cut(quantised(vectors, scale))
+    rows = cut(quantised(vectors, scale).withColumn("row", F.monotonically_increasing_id()))  # by which rows of one id spread
     query = F.col("vec_id") % every == 0
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(query).alias("q")).first()
     blocks, query_blocks = -(-sizes["n"] // CANDIDATES) or 1, -(-sizes["q"] // QUERIES) or 1
-    candidates = _packed(rows, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "c")
-    queries = _packed(rows.where(query), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)), "q")
+    candidates = _packed(rows, F.pmod(F.xxhash64("row"), F.lit(blocks)), "c")
+    queries = _packed(rows.where(query), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)), "q")
     # every pair of blocks is a key of its own, so the pairs spread over `parts` tasks whatever the vectors are
     parts = max(1, min(blocks * query_blocks, 4096))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

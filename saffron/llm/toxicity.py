@@ -4,7 +4,7 @@ A sentence ends at a full stop, question mark, exclamation mark or line end. Its
 its hashed byte n-grams (ORDERS; lower-cased, everything but letters read as a space), its probability p the
 sigmoid of that. A document is toxic with probability 1 - product(1 - p): one bad sentence is enough, and only the
 documents are labelled. The weights are trained in numpy (Adam on the noisy-or likelihood, each step drawing weights towards zero) on at most PER_LABEL
-texts of each class; offending sentences are those with p >= 0.5.
+texts of each class; offending sentences are those with p >= 0.5, or the likeliest of a toxic document that has none.
 
 Defined results: null reads as empty; a text without a letter has no sentence and scores 0. With fewer than two
 classes among the training rows every score is that class's share, or 0.5 without any. Rows that repeat are scored
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import slices
-from ._spark import bounded_sample
+from ._spark import bounded_sample, held_out
 from .langid import folded
 
 ORDERS = (4, 5)
@@ -155,3 +155,24 @@ def offending_sentences(docs: DataFrame, model: Model) -> DataFrame:
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text.mapInArrow(run, "doc_id long, start long, end long, score double")
+
+
+def located(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_offending, spans) of each row of docs (doc_id, text): spans has the start:end of
+    the offending sentences of a document that is predicted toxic, in code points, joined by commas."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            scores = model.scores(batch.column(1))
+            found = [[] for _ in scores]
+            for i in np.flatnonzero(scores >= threshold):
+                text = batch.column(1)[int(i)].as_py() or ""
+                found[i] = model.offending(text) or sorted(model.offending(text, 0.0), key=lambda x: -x[2])[:1]
+            spans = [",".join(f"{a}:{b}" for a, b, _ in x) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([len(x) for x in found], pa.int64()), pa.array(spans, pa.string())], ["doc_id", "score", "n_offending", "spans"])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = text.mapInArrow(run, "doc_id long, score double, n_offending long, spans string")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_offending", "spans")

@@ -50,3 +50,15 @@ def test_bounds_never_lose_a_neighbour(spread):
         s = x @ x[q]
         want = sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:10]
         assert list(places) == want and list(scores) == [s[i] for i in want]
+
+
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-8, 9, 8) / 8]) for i in range(60)]
+    rows += [(7, [8.0] * 8), (7, [8.0] * 8), (20, [2.0] * 8), (40, [-1.0] * 8), *[(33, [0.5] * 8)] * 300]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 20, 40):
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for j, x in whole if j == q for i, y in whole if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:20], 1)]
+    assert sorted(map(tuple, topk.top_k(frame(spark, rows)).collect())) == sorted(want)
