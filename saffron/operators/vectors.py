@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def search(embeddings: DataFrame, query: list[float], k: int, exclude=None) -> DataFrame:
     """(recipe_id, distance, rank) of the k nearest to a query vector, which is a literal of the plan; ties by id."""
     rows = embeddings if exclude is None else embeddings.where(F.col("recipe_id") != exclude)
-    point = F.array(*[F.lit(float(x)) for x in query])
-    near = rows.select("recipe_id", cosine_distance(F.col("embedding"), point).alias("distance")).orderBy("distance", "recipe_id").limit(k)
+    point, length = F.array(*[F.lit(float(x)) for x in query]), sqrt(sum(float(x) * float(x) for x in query))
+    norm = F.sqrt(_dot(F.col("embedding"), F.col("embedding"))) * F.lit(length)
+    distance = F.when(norm == 0, F.lit(float("nan"))).otherwise(1 - _dot(F.col("embedding"), point) / F.nullif(norm, F.lit(0.0)))
+    near = rows.select("recipe_id", distance.alias("distance")).orderBy("distance", "recipe_id").limit(k)
     return near.agg(F.array_sort(F.collect_list(F.struct("distance", "recipe_id"))).alias("r")).select(F.posexplode("r").alias("rank", "x")).select("x.recipe_id", "x.distance", (F.col("rank") + 1).alias("rank"))
 
 
