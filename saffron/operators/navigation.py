@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def in_book(recipes: DataFrame, book: str = "book_id", order: str = "ord", id_: str = "id") -> DataFrame:
     """Adds previous_id and next_id: of the rows of the book with a strictly smaller (greater) order the nearest; rows
-    of equal order pass each other over, and among several nearest the one with the smallest id is taken."""
-    rows = Window.partitionBy(book).orderBy(order)
-    after, before = rows.rangeBetween(1, Window.unboundedFollowing), rows.rangeBetween(Window.unboundedPreceding, -1)
-    nearest_next = F.min(F.struct(order, id_)).over(after)[id_]
-    nearest_previous = F.min(F.struct((-F.col(order)).alias(order), F.col(id_))).over(before)[id_]
-    return recipes.withColumn("next_id", nearest_next).withColumn("previous_id", nearest_previous)
+    of equal order pass each other over, and among several nearest the one with the smallest id is taken. The places of
+    a book are ranked, one row for each order, and joined back."""
+    places = recipes.where(F.col(order).isNotNull()).groupBy(book, order).agg(F.min(id_).alias("_first"))
+    by_place = Window.partitionBy(book).orderBy(order)
+    places = places.withColumn("next_id", F.lead("_first").over(by_place)).withColumn("previous_id", F.lag("_first").over(by_place))
+    return recipes.join(places.drop("_first"), [book, order], "left").select(*recipes.columns, "next_id", "previous_id")
 
 
 def in_sequence(rows: DataFrame, partition: str, order: list[str], id_: str) -> DataFrame:

@@ -170,7 +170,7 @@ def ordering(search: Search, recipes: DataFrame, catalogue: Catalogue) -> tuple[
         "author": [name("author"), name("title"), name("name")],
         "book": [name("title"), name("ord")],
         "order": [name("author"), name("ord")],  # a book's own default order is its author
-        "random": [By(F.xxhash64(F.col("id"), F.lit(search.seed)))],
+        "random": [By(F.md5(F.concat(F.lit(f"{search.seed}:"), F.col("id").cast("string"))))],
     }
     return recipes, [*orders.get(sort, [name("name")]), name("id")]
 

@@ -99,7 +99,7 @@ _page("sort_author", Search(groups=_all, sort="author"), _where, "r.author, r.ti
 _page("sort_book", Search(groups=_all, sort="book"), _where, "r.title, r.ord, r.id")
 _page("sort_order", Search(groups=_all, sort="order"), _where, "r.author, r.ord, r.id")
 _page("sort_unknown", Search(groups=_all, sort="colour"), _where, "r.name, r.id")
-_page("sort_random", Search(groups=_all, sort="random", seed=11), _where, None)
+_page("sort_random", Search(groups=_all, sort="random", seed=11), _where, "md5('11:' || r.id), r.id")
 _page("sort_list_order", Search(lists=(3,)), "true", "li.listed_at, r.id", "JOIN li ON li.recipe_id = r.id AND li.list_id = 3")
 _page("page_3", Search(groups=_all, sort="name", page=3), _where, "r.name, r.id")
 _page("page_beyond_the_last", Search(book=7, sort="name", page=500), "r.book_id = 7", "r.name, r.id")

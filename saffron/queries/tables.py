@@ -311,7 +311,7 @@ def output_paths(spark, d):
     return star_schema(spark, d).recipes.select("id", mutations.output_path(F.lit("lib"), F.col("id"), "recipes.json").alias("path"))
 
 
-@query(None)
+@query("SELECT o_orderkey AS id, o_orderpriority || ' ' || o_orderkey AS name FROM orders ORDER BY md5('20240131:' || o_orderkey), o_orderkey LIMIT 1")
 def daily_recipe(spark, d):
     recipes = star_schema(spark, d).recipes
     return daily_pick(recipes.select("id", "name"), F.lit("2024-01-31").cast("date"))
