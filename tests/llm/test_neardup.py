@@ -78,3 +78,19 @@ def test_first_of_each_decides_by_row(spark):
     rows = [(1, a), (2, a.upper()), (2, b), (3, b), (5, "q r s t u v w"), (5, "q r s t u v w"), (None, "k l m n o p"), (None, "k l m n o p"), (8, None), (8, None)]
     out = sorted(((r["doc_id"], r["text"]) for r in neardup.first_of_each(docs(spark, rows, clash=True)).collect()), key=str)
     assert out == sorted([(1, a), (2, b), (5, "q r s t u v w"), (None, "k l m n o p"), (8, None), (8, None)], key=str)
+
+
+def test_a_large_group_and_long_texts_equal_all_pairs(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    rows = []
+    for n in range(160):  # one group of edits, few words being put in, so that edits are shared; many miss the threshold
+        copy = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(80)] = f"new{rng.randrange(3)}"
+        rows.append((n, " ".join(copy)))
+    long = [rng.choice(vocabulary) + str(i % 97) for i in range(40_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[:2000] + ["x"] + long[2001:])), (502, " ".join(long[:20_000]))]
+    assert have(neardup.near_duplicates(docs(spark, rows), 3, 85)) == brute(rows, 3, 85)
+    assert have(neardup.near_duplicates(docs(spark, rows), 5, 80)) == brute(rows, 5, 80)
