@@ -22,11 +22,19 @@ class Catalogue:
     lists: DataFrame
     list_items: DataFrame
     embeddings: DataFrame | None = None
+    #: recipe_keywords in which a link may stand more than once; searches ask only whether one exists, so they read
+    #: these and no shuffle makes them distinct.
+    raw_links: DataFrame | None = None
 
     def described(self) -> DataFrame:
         """recipes with their book's title and author."""
         return self.recipes.join(self.books.select(F.col("id").alias("book_id"), "title", "author"), "book_id")
 
+    def searched_keywords(self) -> DataFrame:
+        """(recipe_id, related) of every link, some perhaps more than once."""
+        links = self.recipe_keywords if self.raw_links is None else self.raw_links
+        return links.join(self.keywords.select(F.col("id").alias("keyword_id"), F.col("name").alias("related")), "keyword_id").select("recipe_id", "related")
+
     def named_keywords(self) -> DataFrame:
         """(recipe_id, keyword) of every recipe's keywords."""
         return self.recipe_keywords.join(self.keywords.select(F.col("id").alias("keyword_id"), F.col("name").alias("keyword")), "keyword_id").select("recipe_id", "keyword")
@@ -59,5 +67,6 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Catalogue:
         recipe_keywords=lines.select(F.col("l_orderkey").alias("recipe_id"), F.col("l_partkey").alias("keyword_id")).distinct(),
         lists=read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
         list_items=lines.groupBy(F.col("l_suppkey").alias("list_id"), F.col("l_orderkey").alias("recipe_id")).agg(F.min("l_shipdate").alias("created_at")),
+        raw_links=lines.select(F.col("l_orderkey").alias("recipe_id"), F.col("l_partkey").alias("keyword_id")),
         embeddings=read("embeddings").select(F.col("vec_id").alias("recipe_id"), "embedding"),
     )

@@ -41,7 +41,7 @@ class _Relation:
 
 def _related(catalogue: Catalogue) -> dict[str, DataFrame]:
     lists = catalogue.list_items.join(catalogue.lists.select(F.col("id").alias("list_id"), F.col("name").alias("related")), "list_id")
-    return {"keywords": catalogue.named_keywords().withColumnRenamed("keyword", "related"), "recipe_lists": lists.select("recipe_id", "related")}
+    return {"keywords": catalogue.searched_keywords(), "recipe_lists": lists.select("recipe_id", "related")}
 
 
 def _as_text(recipes: DataFrame, field: str) -> Column:
