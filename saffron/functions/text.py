@@ -62,6 +62,21 @@ def dirname(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def normalised(path: Column) -> Column:
+    """A path without empty and '.' parts, in which '..' takes back the part before it; '.' if nothing is left. A '..'
+    with nothing to take back stays in a relative path and goes from one that begins at the root."""
+    rooted, up = path.startswith("/"), F.lit("..")
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+
+    def take(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        back = F.when(last.isNull() & rooted, done).when(last.isNull() | (last == up), F.array_append(done, part)).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        return F.when(part == up, back).otherwise(F.array_append(done, part))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), take), "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"[^.](\.[^.]*)$", 1))
 
@@ -80,6 +95,11 @@ def with_header(name: Column, text: Column) -> Column:
     return F.concat(F.lit("--- FILE: "), name, F.lit(" ---\n"), text)
 
 
+def joined_files(names: Column, texts: Column) -> Column:
+    """Files under their headers with a blank line between them; names and texts run in step."""
+    return F.array_join(F.zip_with(names, texts, with_header), "\n\n")
+
+
 def prompt(template: str, **parts: Column) -> Column:
     """A template whose {names} are replaced by columns."""
     out = F.lit(template)
@@ -103,6 +123,6 @@ def plural_end(n: Column) -> Column:
     return F.when(n == 1, "").otherwise("s")
 
 
-def added(names: Column, more: Column, n: int) -> Column:
+def added(names: Column, n: int) -> Column:
     """The first n of a list and how many more there are."""
     return F.struct(F.slice(names, 1, n).alias("shown"), F.greatest(F.lit(0), F.size(names) - n).alias("more"))

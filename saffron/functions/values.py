@@ -53,7 +53,7 @@ def middle_sample(files: Column, seed: Column) -> Column:
     n = F.size(files)
     start, end = F.floor(n * 0.25).cast("int"), F.floor(n * 0.75).cast("int")
     room = end - start
-    shift = F.pmod(F.xxhash64(seed), F.greatest(room - SAMPLE + 1, F.lit(1)).cast("long")).cast("int")
+    shift = F.pmod(F.conv(F.substring(F.md5(seed.cast("string")), 1, 8), 16, 10).cast("long"), F.greatest(room - SAMPLE + 1, F.lit(1)).cast("long")).cast("int")
     return F.when(n <= SAMPLE, files).when(room <= SAMPLE, F.slice(files, start + 1, room)).otherwise(F.slice(files, start + shift + 1, SAMPLE))
 
 

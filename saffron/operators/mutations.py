@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Types that JSON has too.
+PLAIN = ("string", "boolean", "byte", "short", "integer", "long", "float", "double", "array", "struct", "map")
+
+
 def last_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Of rows with the same key the one that comes last."""
     window = Window.partitionBy(*key).orderBy(*[c.desc() for c in order])
@@ -49,6 +53,16 @@ def set_null(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(gone, rows[column] == gone["_gone"], "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
 
 
+def ordered(rows: DataFrame, column: str = "ord") -> DataFrame:
+    """Rows whose place is not known stand at 0."""
+    return rows.withColumn(column, F.coalesce(column, F.lit(0)))
+
+
+def images_of(recipes: DataFrame, book) -> DataFrame:
+    """(cleared): how many rows clear_images changes or rewrites, as a bulk update counts them."""
+    return recipes.where(F.col("book_id") == book).agg(F.count("*").alias("cleared"))
+
+
 def clear_images(recipes: DataFrame, book) -> DataFrame:
     return recipes.withColumn("image", F.when(F.col("book_id") == book, "").otherwise(F.col("image")))
 
@@ -68,6 +82,12 @@ def set_once(table: DataFrame, defaults: DataFrame) -> DataFrame:
     return table.limit(1).union(defaults.limit(1)).limit(1)
 
 
+def report_document(row: DataFrame, key: str = "id") -> DataFrame:
+    """(key, json) of each row as an object; what JSON has no type for is written as text."""
+    plain = [F.col(f.name) if f.dataType.typeName() in PLAIN else F.col(f.name).cast("string").alias(f.name) for f in row.schema]
+    return row.select(F.col(key), F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def document(rows: DataFrame, order: list[Column]) -> DataFrame:
     """One JSON text of each book's rows (book_id, ...) as an array in order."""
     fields = [c for c in rows.columns if c != "book_id"]

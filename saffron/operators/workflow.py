@@ -71,6 +71,7 @@ def finalised(reports: DataFrame, recipes: DataFrame, completed_at: Column) -> D
 
 
 def failed(reports: DataFrame, errors: DataFrame) -> DataFrame:
-    """errors (id, error) appended to their report's list."""
-    lists = errors.groupBy("id").agg(F.array_sort(F.collect_list("error")).alias("_more"))
+    """errors (id, at, error) appended to their report's list in the order of their time."""
+    timed = F.array_sort(F.collect_list(F.struct("at", "error")))
+    lists = errors.groupBy("id").agg(F.transform(timed, lambda e: e["error"]).alias("_more"))
     return reports.join(lists, "id", "left").withColumn("errors", F.concat("errors", F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")

@@ -12,7 +12,7 @@ from ..functions.values import daily_pick
 from ..model import star_schema, table
 from ..operators import analytics, keywords, mutations, navigation, vectors, workflow
 from ..sources import catalogue as library
-from ..streaming.incremental import windowed_counts
+from ..streaming.incremental import windowed_counts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -402,14 +402,13 @@ def catalogue_query(spark, d):
 
 @query("""SELECT time_bucket(INTERVAL 60 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_windowed_counts(spark, d):
-    """An extension: the events counted as a stream in windows of an hour; the result is as many rows as windows."""
-    import tempfile
-    import uuid
-
-    schema = table(spark, d, "events").schema
-    name = f"windows_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    counts = windowed_counts(spark, d, schema, name="events.parquet")
-    stream = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    """An extension: the events counted as a stream in windows of an hour; each batch writes the windows so far."""
+    folder = work_folder(spark, "windows")
+    counts = windowed_counts(spark, d, table(spark, d, "events").schema, name="events.parquet")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("count").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts")
+
+    stream = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("count").alias("n"))
+    return spark.read.parquet(f"{folder}/counts")

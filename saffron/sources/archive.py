@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pyarrow as pa
@@ -18,30 +19,63 @@ CHAPTER_TYPES = ("application/xhtml+xml", "application/x-dtbook+xml")
 IMAGE = r"(?i)\.(jpg|jpeg|png|gif|webp)$"
 #: Fewer chapter-like files than this, and all of the reading order counts.
 LEAST_CHAPTERS = 5
-
-
-def members(spark: SparkSession, folder: str, pattern: str = "*.epub") -> DataFrame:
-    """(book, ord, path, data) of every member of the archives below a folder; a member that cannot be read has null
-    data, an archive that cannot be opened has none."""
+#: Bytes of members that a task sends on at once.
+BATCH_BYTES = 16 << 20
+
+
+def opened(files: DataFrame, wanted: str = "") -> DataFrame:
+    """(book, ord, path, data) of the members of archives (path, content) whose names match `wanted`; a member that
+    cannot be read has null data, an archive that cannot be opened has none. Rows leave a task in batches of about
+    BATCH_BYTES, so an archive of many images is never held twice."""
+    names, fits = ["book", "ord", "path", "data"], re.compile(wanted)
+
+    def packed(rows):
+        columns = zip(*rows, strict=True)
+        types = (pa.string(), pa.int32(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    def of_archive(book, content):
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content or b""))
+        except zipfile.BadZipFile:
+            return
+        for place, name in enumerate(archive.namelist()):
+            if fits.search(name):
+                try:
+                    data = archive.read(name)
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
+                    data = None
+                yield book, place, name, data
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            for book, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for place, name in enumerate(archive.namelist()):
-                    try:
-                        data = archive.read(name)
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
-                        data = None
-                    yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([place], pa.int32()), pa.array([name]), pa.array([data], pa.binary())], ["book", "ord", "path", "data"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+            for book, content in zip(batch.column(0), batch.column(1), strict=True):
+                for row in of_archive(book.as_py(), content.as_py()):
+                    rows.append(row)
+                    size += len(row[2]) + len(row[3] or b"")
+                    if size >= BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
     return files.select("path", "content").mapInArrow(run, "book string, ord int, path string, data binary")
 
 
+def members(spark: SparkSession, folder: str, pattern: str = "*.epub", wanted: str = "") -> DataFrame:
+    """The members of every archive below a folder, as opened() gives them."""
+    return opened(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder), wanted)
+
+
+def first_files(files: DataFrame, ending: str = ".epub", cover: str = "cover.jpg") -> DataFrame:
+    """(folder, archive, cover) of files (path): the first archive of each folder in order of name, and the path of its
+    cover, each null where there is none."""
+    name = basename(F.col("path"))
+    archive, picture = F.when(name.endswith(ending), F.col("path")), F.when(name == cover, F.col("path"))
+    return files.groupBy(dirname(F.col("path")).alias("folder")).agg(F.min(archive).alias("archive"), F.min(picture).alias("cover"))
+
+
 def _text(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
@@ -87,6 +121,13 @@ def contents(rows: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(text, ["book", "path"]).where("text is not null").select("book", "place", "path", "text")
 
 
+def unreadable(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Files (book, place, path) that contents() leaves out, with the reason: absent, or unreadable."""
+    known = rows.select("book", "path", F.lit("unreadable").alias("reason"), F.try_validate_utf8(F.col("data").cast("string")).alias("_text"))
+    joined = files.join(known, ["book", "path"], "left").where("_text is null")
+    return joined.select("book", "place", "path", F.coalesce("reason", F.lit("absent")).alias("reason"))
+
+
 def member(rows: DataFrame, book: str, path: str) -> DataFrame:
     """The data of one member by its exact path; no row if it is absent."""
     return rows.where((F.col("book") == book) & (F.col("path") == path)).select("data")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,10 @@ from ..streaming.limiter import TokenBucket
 Complete = Callable[[str, str], tuple[str, tuple[float, int, int]]]
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]] | None]
 
+#: The fields of the answer that a provider is asked for, as a type.
+ANSWER = "array<struct<name:string,description:string,recipeIngredients:array<string>,recipeInstructions:array<string>,recipeYield:string,image:string,keywords:array<string>>>"
+REQUIRED = ("name", "recipeIngredients", "recipeInstructions")
+
 ATTEMPTS, FIRST_WAIT_S = 5, 2.0
 #: Texts embedded in one call.
 BATCH = 6
@@ -40,25 +46,33 @@ def retried(call: Callable, *args, attempts: int = ATTEMPTS, first_wait: float =
             sleep(first_wait * 2**i)
 
 
-def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256) -> DataFrame:
-    """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). The tasks that run at
-    a time share the rate; a prompt whose attempts all fail has its error, and the others go on."""
-    share = rate_per_minute / max(1, min(prompts.sparkSession.sparkContext.defaultParallelism, prompts.rdd.getNumPartitions()))
+def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256, tasks: int = 16, first_wait: float = FIRST_WAIT_S) -> DataFrame:
+    """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). The prompts are dealt
+    out to `tasks` tasks, each with its share of the rate; a prompt whose attempts all fail has its error, and the
+    others go on."""
+    share, names = rate_per_minute / tasks, ["key", "response", "cost_usd", "input_tokens", "output_tokens", "error"]
+    types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
 
     def run(batches):
         bucket = TokenBucket(share / 60, max(1, int(share // 6)))
         for batch in batches:
+            rows = []
             for key, prompt, model in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 bucket.acquire()
                 try:
-                    answer, (cost, tokens_in, tokens_out) = retried(complete, prompt, model)
-                    row = (answer, cost, tokens_in, tokens_out, None)
+                    answer, (cost, tokens_in, tokens_out) = retried(complete, prompt, model, first_wait=first_wait)
+                    rows.append((key, answer, cost, tokens_in, tokens_out, None))
                 except Exception as e:
-                    row = (None, 0.0, 0, 0, str(e))
-                types = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([key]), *[pa.array([v], t) for v, t in zip(row, types, strict=True)]], ["key", "response", "cost_usd", "input_tokens", "output_tokens", "error"])
+                    rows.append((key, None, 0.0, 0, 0, str(e)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt", "model").repartition(tasks).mapInArrow(run, "key string, response string, cost_usd double, input_tokens int, output_tokens int, error string")
+
 
-    return prompts.select(F.col("key").cast("string").alias("key"), "prompt", "model").mapInArrow(run, "key string, response string, cost_usd double, input_tokens int, output_tokens int, error string")
+def answered(response: Column) -> Column:
+    """The recipes of an answer in JSON that have all required fields; null where the text is no such list."""
+    return F.filter(F.from_json(response, ANSWER), lambda r: reduce(and_, (r[f].isNotNull() for f in REQUIRED)))
 
 
 def embedded(texts: DataFrame, embed: Embed) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +13,13 @@ from ..operators.mutations import last_wins, upsert
 from ..operators.vectors import missing
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, else the warehouse; under a local master
+    without the setting, a temporary one."""
+    local = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or local}/{name}_{uuid.uuid4().hex}"
+
+
 def upsert_stream(arriving: DataFrame, read_old, write_new, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
     """Upserts a stream into a table: read_old() gives its rows, write_new(rows, batch) replaces them. Of rows that
     share a key in one batch the last in `order` counts. A batch that is run again gives the same table."""

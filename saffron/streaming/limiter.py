@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from contextlib import contextmanager
 
 
 class TokenBucket:
@@ -29,3 +31,23 @@ class TokenBucket:
             if not blocking or timeout is not None and now - start + wait > timeout:
                 return False
             self.sleep(wait)
+
+
+class Limiter:
+    """A token bucket whose calls also share a number of slots; threads of one process may use it together."""
+
+    def __init__(self, bucket: TokenBucket, at_once: int):
+        self.bucket, self.lock, self.slots = bucket, threading.Lock(), threading.BoundedSemaphore(at_once)
+
+    @contextmanager
+    def call(self, timeout: float | None = None):
+        """Holds a slot while its body runs; TimeoutError if no slot or token comes free in time."""
+        if not self.slots.acquire(timeout=timeout):
+            raise TimeoutError("no slot came free")
+        try:
+            with self.lock:
+                if not self.bucket.acquire(timeout=timeout):
+                    raise TimeoutError("no token came free")
+            yield
+        finally:
+            self.slots.release()

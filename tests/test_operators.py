@@ -5,10 +5,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from saffron.functions import values
+from saffron.functions import text, values
 from saffron.operators import keywords, navigation, vectors, workflow
 from saffron.sources import archive, completion
-from saffron.streaming.limiter import TokenBucket
+from saffron.streaming.limiter import Limiter, TokenBucket
 
 
 def wide(*leading):
@@ -129,3 +129,42 @@ def test_navigation_and_toggles_over_whole_tables(spark):
     items = {(r[0], r[1]) for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey", "l_orderkey").collect()}
     pairs = {(1 + r[0] % 10, r[0]) for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey").collect()}
     assert {(r["list_id"], r["recipe_id"]) for r in QUERIES["list_toggle_all"](spark, SMALL).collect()} == items ^ pairs
+
+
+def test_slots_and_tokens_are_given_back(spark):
+    limiter = Limiter(TokenBucket(1000, 1000), 1)
+    with limiter.call():
+        with pytest.raises(TimeoutError):
+            with limiter.call(timeout=0.01):
+                pass
+    with pytest.raises(ValueError), limiter.call():
+        raise ValueError
+    with limiter.call(timeout=0.01):
+        pass
+
+
+def test_paths_are_normalised(spark):
+    cases = {"a//b/./c": "a/b/c", "a/../..": "..", "../../a": "../../a", "/../a": "/a", "": ".", "a/..": ".", "/": "/"}
+    rows = spark.createDataFrame([(p,) for p in cases], "p string").select("p", text.normalised(F.col("p")).alias("n")).collect()
+    assert {r["p"]: r["n"] for r in rows} == cases
+
+
+def test_members_leave_a_task_in_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "BATCH_BYTES", 10)
+    with zipfile.ZipFile(tmp_path / "many.epub", "w") as z:
+        for i in range(7):
+            z.writestr(f"{i}.txt", f"text {i}")
+        z.writestr("x.jpg", "jpg")
+    rows = archive.members(spark, str(tmp_path), wanted=r"\.txt$").orderBy("ord").collect()
+    assert [(r["path"], bytes(r["data"]).decode()) for r in rows] == [(f"{i}.txt", f"text {i}") for i in range(7)]
+
+
+def test_prompts_that_fail_keep_their_error_in_spark(spark):
+    def provider(prompt, model):
+        if prompt == "bad":
+            raise ValueError("no")
+        return prompt, (0.5, 10, 2)
+
+    prompts = spark.createDataFrame([("a", "p", "m"), ("b", "bad", "m"), ("c", "q", "m")], "key string, prompt string, model string")
+    rows = completion.completed(prompts, provider, tasks=2, first_wait=0.0).orderBy("key").collect()
+    assert [(r["key"], r["response"], r["error"]) for r in rows] == [("a", "p", None), ("b", None, "no"), ("c", "q", None)]
