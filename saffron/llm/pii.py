@@ -9,8 +9,10 @@ leftmost non-overlapping matches of these fixed patterns, checks included, a fai
     card   [0-9]([\\x20-]?[0-9])+                       12 to 19 digits passing Luhn
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                 9 to 15 digits
 
-The method adds two kinds: login (user information in an address with a scheme) and account (an identifier of 6 to 34
-letters and digits, 6 of them digits at least, after a cue such as IBAN or account; after IBAN it must pass its check).
+The method adds three kinds: login (user information in an address with a scheme), account (an identifier of 6 to 34
+letters and digits, 6 of them digits at least, after a cue such as IBAN or account; after IBAN it must pass its check) and
+secret (what is assigned, with = or a colon, to a name that ends in a cue such as token or key: 16 characters at least
+with 3 digits among them; after a cue for a password 6 with a digit).
 
 Spans are in code points, end exclusive, sorted by start and then by kind as listed. Null reads as empty. Rows that
 repeat are scanned each for itself; extra columns of the input are kept by mask() and ignored by spans().
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "login", "account")
+KINDS = ("email", "ip", "card", "phone", "login", "account", "secret")
 BASE = KINDS[:4]
 DIGITS = frozenset("0123456789")
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -33,6 +35,11 @@ LOCAL, LABEL = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 #: Cues that an identifier of a person or an account follows.
 CUES = ("IBAN", "iban", "Iban", "account", "Account", "ACCOUNT", "acct", "Acct", "passport", "Passport", "SSN", "ssn")
+#: Ends of names that a secret is assigned to, each also as a capitalised and as an upper-case word, with the
+#: least length of the secret and of its digits.
+SECRET_CUES = {"token": (16, 3), "secret": (16, 3), "key": (16, 3), "password": (6, 1), "passwd": (6, 1), "pwd": (6, 1)}
+SECRET, PADDING = ALNUM | frozenset("_-+/."), frozenset("=")
+QUOTES, ASSIGNS, BLANK = frozenset("\"'"), frozenset("=:"), frozenset(" \t")
 
 
 @lru_cache(maxsize=1)
@@ -40,7 +47,7 @@ def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for key, value in [("@", "@"), ("+", "+"), ("://", ":"), *((d, "0") for d in sorted(DIGITS)), *((c, c.lower()) for c in CUES)]:
+    for key, value in [("@", "@"), ("+", "+"), ("://", ":"), *((d, "0") for d in sorted(DIGITS)), *((c, c.lower()) for c in CUES), *((w, c) for c in SECRET_CUES for w in (c, c.capitalize(), c.upper()))]:
         found.add_word(key, (value, len(key)))
     found.make_automaton()
     return found
@@ -155,11 +162,27 @@ def _accounts(text, anchors):
             last = end
 
 
+def _secrets(text, anchors):
+    """anchors: (position after the cue, cue). A value holds no sign of assignment, so the values of two cues never overlap."""
+    for after, cue in anchors:
+        at = _run(text, after + (text[after : after + 1] in QUOTES), BLANK)
+        if text[at : at + 1] not in ASSIGNS:
+            continue
+        start = _run(text, at + 1, BLANK)
+        start += text[start : start + 1] in QUOTES
+        end = _run(text, start, SECRET)
+        while end > start and text[end - 1] == ".":  # a sentence's end
+            end -= 1
+        length, digits = SECRET_CUES[cue]
+        if end - start >= length and sum(c in DIGITS for c in text[start:end]) >= digits:
+            yield start, _run(text, end, PADDING)
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of every span of a text, in order."""
     if not text:
         return []
-    at, plus, digit, scheme, cue = [], [], [], [], []
+    at, plus, digit, scheme, cue, secret = [], [], [], [], [], []
     for end, (kind, length) in _automaton().iter(text):
         if kind == "0":
             digit.append(end)
@@ -169,9 +192,11 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
             plus.append(end)
         elif kind == ":":
             scheme.append(end - length + 1)
+        elif kind in SECRET_CUES:
+            secret.append((end + 1, kind))
         else:
             cue.append((end + 1, kind))
-    parsers = ((_emails, at), (_addresses, digit), (_cards, digit), (_phones, plus), (_logins, scheme), (_accounts, cue))
+    parsers = ((_emails, at), (_addresses, digit), (_cards, digit), (_phones, plus), (_logins, scheme), (_accounts, cue), (_secrets, secret))
     return sorted((s, k, e) for k, (parse, anchors) in enumerate(parsers) if anchors for s, e in parse(text, anchors))
 
 

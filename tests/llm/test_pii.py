@@ -70,6 +70,29 @@ def test_the_method_adds_logins_and_accounts():
     assert pii.masked("mail me@a.example now") == "mail <EMAIL> now"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('of token = "e7fbfec6a80404dc513b99d3fdbf2a6e53400638" the', ["e7fbfec6a80404dc513b99d3fdbf2a6e53400638"]),
+        ('TOKEN = "9233A8ECF7C5B09FE59012345"', ["9233A8ECF7C5B09FE59012345"]),
+        ("API_KEY: abcd1234efgh5678.", ["abcd1234efgh5678"]),
+        ('{"client_secret": "Zm9vYmFyMTIzNDU2Nzg5MA==", "password": "hunter2"}', ["Zm9vYmFyMTIzNDU2Nzg5MA==", "hunter2"]),
+        ("token=pwd=abc123", ["abc123"]),
+        ("the key: a word, a token = short1, secret = nodigitsinherewhatsoever", []),
+        ("token", []), ("token = ", []), ("key e7fbfec6a80404dc513b99d3", []),
+    ],
+)
+def test_the_method_adds_secrets(text, want):
+    assert [text[s:e] for s, k, e in pii.find(text) if pii.KINDS[k] == "secret"] == want
+    assert base(text) == brute(text)
+
+
+def test_secrets_of_long_texts_take_linear_time():
+    for part in ("token=", "token = ", "key" + " " * 50, "secret:." , "pwd=a1"):
+        assert pii.find(part * (400_000 // len(part))) is not None
+    assert pii.masked('my token = "' + "a1b2" * 10 + '" stays') == 'my token = "<SECRET>" stays'
+
+
 def test_odd_rows(spark):
     df = docs(spark, clash=True)
     assert pii.spans(df).count() == df.count()
