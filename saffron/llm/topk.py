@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from ._spark import cut
 
-#: Rows of a block of candidates, and of a block of queries.
-CANDIDATES, QUERIES = 4096, 512
+#: Rows of a block of candidates, and of a block of queries. A candidate travels once for each block of queries and a query
+#: once for each block of candidates; SLICE queries of a block are looked at together, which bounds a task's memory.
+CANDIDATES, QUERIES, SLICE = 4096, 4096, 512
 #: Shares of the lists read before the bounds are compared.
 DEPTHS = (0.5, 0.9)
 
@@ -76,11 +77,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
     """Yields (query id, places of its k best candidates, their scores)."""
-    up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    n = len(ids)
     lists = np.sort(values, axis=0).astype(np.float64)  # ascending; lists with a positive factor are read from the end
     x = values.astype(np.float64)
-    bottom, top = lists[0], lists[-1]
+    for first in range(0, len(query_ids), SLICE):
+        part = slice(first, first + SLICE)
+        yield from _search_slice(query_ids[part], queries[part], ids, values, lists, x, k)
+
+
+def _search_slice(query_ids, queries, ids, values, lists, x, k):
+    """search_block for some of its queries; lists: the values of each dimension in order, x: the values as floats."""
+    n, bottom, top = len(ids), lists[0], lists[-1]
+    up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
     open_ = np.arange(len(query_ids))
     for share in DEPTHS:
         depth = min(n - 1, int(share * n))
