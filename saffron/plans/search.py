@@ -143,8 +143,8 @@ class By:
     column: Column
     down: bool = False
 
-    def sorted(self) -> Column:
-        return self.column.desc() if self.down else self.column.asc()
+    def sorted(self, forward: bool = True) -> Column:
+        return self.column.desc() if self.down == forward else self.column.asc()
 
     def beyond(self, value, forward: bool) -> Column:
         """Whether a row comes after (or before) one whose key is `value`."""
@@ -189,9 +189,16 @@ def last_page(rows: int, per_page: int) -> int:
 
 
 def get_page(rows: DataFrame, order: list[By], page: int, per_page: int) -> tuple[DataFrame, int]:
-    """(rows of the page, number of all rows); a page beyond the last is the last."""
+    """(rows of the page, number of all rows); a page beyond the last is the last. A page of the second half is taken from
+    the end, so that no more than the rows on its nearer side are gathered with it; page_after reads on from any row."""
     total = rows.count()
-    return paged(rows, order, min(max(1, page), last_page(total, per_page)), per_page), total
+    page = min(max(1, page), last_page(total, per_page))
+    before = (page - 1) * per_page
+    here = min(per_page, total - before)
+    if before <= total - before - here:
+        return paged(rows, order, page, per_page), total
+    from_end = rows.orderBy(*[k.sorted(False) for k in order]).offset(total - before - here).limit(here)
+    return from_end.orderBy(*[k.sorted() for k in order]), total
 
 
 def with_keywords(page: DataFrame, catalogue: Catalogue) -> DataFrame:
@@ -201,19 +208,35 @@ def with_keywords(page: DataFrame, catalogue: Catalogue) -> DataFrame:
     return page.join(nested, "id", "left").withColumn("keyword_names", F.coalesce("keyword_names", F.array().cast("array<string>")))
 
 
+def _key(rows: DataFrame, order: list[By], current):
+    """The sort's keys of the row whose id is `current`."""
+    return rows.where(F.col("id") == current).select(*[k.column.alias(f"k{i}") for i, k in enumerate(order)]).first()
+
+
+def _past(order: list[By], key, forward: bool) -> Column:
+    """Whether a row comes after (or before) the one with these keys."""
+    same, past = F.lit(True), F.lit(False)
+    for k, value in zip(order, key, strict=True):
+        past = past | (same & k.beyond(value, forward))
+        same = same & k.column.eqNullSafe(F.lit(value))
+    return past
+
+
+def page_after(rows: DataFrame, order: list[By], current, per_page: int) -> DataFrame:
+    """The page that follows the row whose id is `current`, at any depth for the price of the first; none for an unknown id."""
+    key = _key(rows, order, current)
+    past = F.lit(False) if key is None else _past(order, key, True)
+    return rows.where(past).orderBy(*[k.sorted() for k in order]).limit(per_page)
+
+
 def around(found: DataFrame, order: list[By], current) -> DataFrame:
     """(direction, id): the rows before and after the one whose id is `current` in a sorted result of any size: each is
     the first of those beyond it, so nothing but the two rows is gathered."""
-    key = found.where(F.col("id") == current).select(*[k.column.alias(f"k{i}") for i, k in enumerate(order)]).first()
+    key = _key(found, order, current)
     if key is None:
         return found.select(F.lit("next").alias("direction"), "id").where(F.lit(False))
 
     def nearest(forward: bool) -> DataFrame:
-        same, past = F.lit(True), F.lit(False)
-        for k, value in zip(order, key, strict=True):
-            past = past | (same & k.beyond(value, forward))
-            same = same & k.column.eqNullSafe(F.lit(value))
-        keys = [k.sorted() if forward else (k.column.asc() if k.down else k.column.desc()) for k in order]
-        return found.where(past).orderBy(*keys).limit(1).select(F.lit("next" if forward else "previous").alias("direction"), "id")
+        return found.where(_past(order, key, forward)).orderBy(*[k.sorted(forward) for k in order]).limit(1).select(F.lit("next" if forward else "previous").alias("direction"), "id")
 
     return nearest(True).union(nearest(False))

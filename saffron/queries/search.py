@@ -130,6 +130,18 @@ ORACLE_SQL["page_last"] = f"""{TABLES}, f AS (SELECT id, row_number() OVER (ORDE
 SELECT id, total FROM f WHERE place // 30 = (total - 1) // 30"""
 
 
+def page_read_on(spark: SparkSession, d: str) -> DataFrame:
+    """The page after the row that ends the third one."""
+    catalogue = star_schema(spark, d)
+    rows, order = plan.ordering(search := Search(groups=_all, sort="recent"), plan.build(search, catalogue), catalogue)
+    last = plan.paged(rows, order, 90, 1).select("id").first()
+    return plan.page_after(rows, order, last[0], 30).select("id", "name")
+
+
+QUERIES["page_read_on"] = page_read_on
+ORACLE_SQL["page_read_on"] = f"""{TABLES} SELECT id, name FROM r WHERE {_where} ORDER BY created_at DESC, id LIMIT 30 OFFSET 90"""
+
+
 def nav_in_result(spark: SparkSession, d: str) -> DataFrame:
     """The rows before and after the 40th of a sorted search."""
     catalogue = star_schema(spark, d)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from saffron.model import Catalogue
 from saffron.plans import search as plan
@@ -80,6 +81,21 @@ def test_sorted_by_name_and_author(catalogue):
     assert authors == sorted(authors) and len(authors) == 6
 
 
+@pytest.mark.parametrize("down", [False, True])
+def test_pages_from_either_end_and_by_reading_on(spark, down):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 7) for i in range(23)], "id int, v int")
+    order = [plan.By(F.col("v"), down), plan.By(F.col("id"))]
+    whole = [r["id"] for r in rows.orderBy(*[k.sorted() for k in order]).collect()]
+    for page in (1, 2, 3, 4, 5, 6, 99):
+        first = (min(page, 5) - 1) * 5
+        have, total = plan.get_page(rows, order, page, 5)
+        assert ([r["id"] for r in have.collect()], total) == (whole[first : first + 5], 23)
+    for place in (0, 4, 11, 20, 22):
+        assert [r["id"] for r in plan.page_after(rows, order, whole[place], 5).collect()] == whole[place + 1 : place + 6]
+    assert plan.page_after(rows, order, -1, 5).count() == 0
+    assert plan.get_page(rows.where("false"), order, 3, 5)[0].count() == 0
+
+
 def test_parsing_of_parallel_lists():
     groups = parse_groups(["a", "b", "c", "d"], ["contains"] * 4, ["1", " ", "3", "4"], ["2", "0", "x", "2"], ["and", "or", "or"])
     assert [(g.logic, [(k.field, k.value) for k in g.conditions]) for g in groups] == [("or", [("c", "3")]), ("and", [("a", "1")])]
