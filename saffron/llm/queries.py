@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, media, mixing, neardup, pieces, pii, quality, topk, toxicity
+from . import html_text, langid, lexical, media, merkle, mixing, neardup, pieces, pii, quality, sharding, topk, toxicity
 from ._spark import held_out, table
 
 
@@ -66,6 +66,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.located(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), threshold=0.5)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": op1_mixture,
     "op2_quality": op2_quality,
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_manifest": op11_manifest,
+    "op12_shards": op12_shards,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -143,5 +158,60 @@ WITH RECURSIVE w AS (
   SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x
 ), c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
+""",
+    "op11_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, coalesce('=' || lang, '-') AS k, source, n_chars, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+    CAST(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda a, b: list_reduce([xor(a, b)] || [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS BIGINT) AS crc
+  FROM documents
+), f AS (
+  SELECT doc_id, k, xor(crc, 4294967295) % 3 = 0 AS hit,
+    [coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')] AS head, coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(lower_text) || ':' || lower_text, '-') AS lower_body
+  FROM d
+), l AS (
+  SELECT doc_id, k, sha256(head[1] || body) AS leaf, CASE WHEN hit THEN sha256(head[1] || lower_body) ELSE sha256(head[1] || body) END AS used,
+    row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM f
+), t AS (
+  SELECT k, 0 AS lvl, idx, leaf AS h, n FROM l
+  UNION ALL
+  SELECT k, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY k, lvl, idx // 8, n
+), s AS (SELECT k, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lvl, idx, subroot AS h, n FROM s
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY lvl, idx // 8, n
+), a AS (
+  SELECT k AS tree, lvl, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM t WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT '', lvl, idx // 8, list(h ORDER BY idx) FROM u WHERE n > 1 GROUP BY ALL
+), p AS (
+  SELECT l.doc_id, l.k, l.leaf, l.used, l.idx, s.depth, s.subroot, s.idx AS place FROM l JOIN s ON l.k = s.k
+), w AS (
+  SELECT doc_id, k, leaf, subroot, idx, depth, place, 0 AS step, used AS folded, '' AS proof FROM p
+  UNION ALL
+  SELECT doc_id, k, leaf, subroot, CASE WHEN step < depth THEN w.idx // 8 ELSE w.idx END, depth, CASE WHEN step < depth THEN place ELSE place // 8 END, step + 1,
+    sha256(array_to_string(list_slice(hs, 1, c), '') || folded || array_to_string(list_slice(hs, c + 2, 8), '')), proof || array_to_string(list_slice(hs, 1, c), '') || array_to_string(list_slice(hs, c + 2, 8), '')
+  FROM (SELECT *, CASE WHEN step < depth THEN idx % 8 ELSE place % 8 END AS c FROM w) w
+  JOIN a ON a.tree = CASE WHEN step < depth THEN k ELSE '' END AND a.lvl = CASE WHEN step < depth THEN step ELSE step - depth END AND a.run = CASE WHEN step < depth THEN w.idx // 8 ELSE place // 8 END
+), r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM r, w QUALIFY step = max(step) OVER (PARTITION BY doc_id)
+""",
+    "op13_lexical": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL
+), g AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(ws)) AS BIGINT) AS ll FROM d WHERE len(ws) > 0
+), p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM d) GROUP BY ALL
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), v AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY term
+), w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM v, g
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll))))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), g GROUP BY item_id, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """,
 }
