@@ -38,9 +38,9 @@ def _page(spark, d, **asked):
     return page.select("id", "title", "author", "added_at", "recipe_count")
 
 
-@query(_SHELF + "SELECT * FROM s WHERE contains(lower(title), 'an') OR contains(lower(author), 'an')")
+@query(_SHELF + "SELECT * FROM s WHERE contains(lower(title), 'nation_1') OR contains(lower(author), 'nation_1')")
 def books_search(spark, d):
-    found, _ = shelf.books(shelf.BookList(search="AN", sort="title"), _shelf(spark, d), star_schema(spark, d).recipes)
+    found, _ = shelf.books(shelf.BookList(search="Nation_1", sort="title"), _shelf(spark, d), star_schema(spark, d).recipes)
     return found.select("id", "title", "author", "added_at", "recipe_count")
 
 
@@ -49,9 +49,9 @@ def books_search_title(spark, d):
     return shelf.books(shelf.BookList(search="77"), _shelf(spark, d), star_schema(spark, d).recipes)[0].select("id", "title", "author", "added_at", "recipe_count")
 
 
-@query(_SHELF + "SELECT * FROM s WHERE author IN ('FRANCE', 'PERU', 'nowhere') AND recipe_count >= 1")
+@query(_SHELF + "SELECT * FROM s WHERE author IN ('NATION_3', 'NATION_17', 'nowhere') AND recipe_count >= 1")
 def books_of_authors(spark, d):
-    asked = shelf.BookList(authors=["FRANCE", "PERU", "nowhere"], has_recipes=True)
+    asked = shelf.BookList(authors=["NATION_3", "NATION_17", "nowhere"], has_recipes=True)
     return shelf.books(asked, _shelf(spark, d), star_schema(spark, d).recipes)[0].select("id", "title", "author", "added_at", "recipe_count")
 
 
@@ -85,17 +85,26 @@ def books_random(spark, d):
     return _page(spark, d, seed=5)
 
 
+@query(_SHELF + """SELECT id, title, CASE WHEN id % 10 > 0 THEN recipe_count ELSE 0 END AS recipe_count FROM s
+ORDER BY CASE WHEN recipe_count >= 1 AND id % 10 > 0 THEN 0 ELSE 1 END, md5('5:' || id), id LIMIT 60 OFFSET ((SELECT count(*) FROM s) - 1) // 60 * 60""")
+def books_random_last_page(spark, d):
+    """Where every tenth book has lost its recipes, such books end a random order."""
+    recipes = star_schema(spark, d).recipes.where("book_id % 10 > 0")
+    return shelf.book_page(shelf.BookList(seed=5, page=10**9), _shelf(spark, d), recipes).select("id", "title", "recipe_count")
+
+
 @query("""SELECT o_orderkey AS id, o_custkey AS book_id FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY md5('3:' || o_orderkey), o_orderkey) <= 6""")
 def sample_recipes_of_each(spark, d):
     return shelf.sample_of_each(star_schema(spark, d).recipes.select("id", "book_id"), "book_id", seed=3)
 
 
-@query("""SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+@query("""SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 > 0)
 ORDER BY md5('0:' || c_custkey), c_custkey LIMIT 10""")
 def sample_without_recipes(spark, d):
+    """Where every tenth book has lost its recipes."""
     c = star_schema(spark, d)
-    return shelf.sample_without_recipes(c.books, c.recipes, "ten").select("id", "title")
+    return shelf.sample_without_recipes(c.books, c.recipes.where("book_id % 10 > 0"), "ten").select("id", "title")
 
 
 @query("""WITH t AS (SELECT length(o_orderpriority || ' ' || o_orderkey) AS tokens FROM orders ORDER BY md5('0:' || o_orderkey), o_orderkey LIMIT 10)

@@ -17,6 +17,7 @@ from ..operators import keywords, mutations, vectors, workflow
 from ..plans.search import By, get_page
 from ..sources import archive, catalogue, completion
 from ..streaming import incremental
+from ..streaming.buckets import BucketTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -264,24 +265,11 @@ def keyword_plurals(spark, d):
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upserts(spark, d):
-    """The events as a stream of changes to a table of each user's latest; the table is written beside itself and read
-    back, so a batch that is run again finds the old one whole."""
-    events = table(spark, d, "events")
-    folder = incremental.work_folder(spark, "upserts")
-    empty = spark.createDataFrame([], events.schema)
-    versions: list[str] = []
-
-    def read_old():
-        return spark.read.schema(events.schema).parquet(versions[-1]) if versions else empty
-
-    def write_new(rows, number):
-        path = f"{folder}/v{number}"
-        rows.write.mode("overwrite").parquet(path)
-        versions.append(path)
-
-    arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("_at", F.struct("ts", "event_id"))
-    incremental.upsert_stream(arriving, read_old, lambda rows, n: write_new(rows.drop("_at"), n), ["user_id"], "_at", f"{folder}/checkpoint").awaitTermination()
-    return read_old().select("user_id", "event_type", "event_id")
+    """The events as a stream of changes to a bucketed table of each user's latest, which another driver could go on with."""
+    events, folder = table(spark, d, "events"), incremental.work_folder(spark, "upserts")
+    arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    incremental.stream_into(arriving, f"{folder}/latest", ["user_id"], ["ts", "event_id"], f"{folder}/checkpoint")
+    return BucketTable(spark, f"{folder}/latest", ["user_id"]).read().select("user_id", "event_type", "event_id")
 
 
 @query("""SELECT vec_id AS recipe_id, CAST(64 AS INTEGER) AS width, -1 AS words FROM embeddings

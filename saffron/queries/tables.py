@@ -12,7 +12,8 @@ from ..functions.values import daily_pick
 from ..model import star_schema, table
 from ..operators import analytics, keywords, mutations, navigation, vectors, workflow
 from ..sources import catalogue as library
-from ..streaming.incremental import windowed_counts, work_folder
+from ..streaming.buckets import BucketTable
+from ..streaming.incremental import stream_into, windowed_counts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,16 +199,18 @@ def embed_upsert(spark, d):
     return vectors.upsert(e, new).select("recipe_id", F.get("embedding", F.lit(0)).alias("first"))
 
 
-@query("""WITH x AS (SELECT list(vec_id ORDER BY vec_id % 7, vec_id) AS ids FROM embeddings WHERE vec_id < 200), y AS (SELECT ids, unnest(range(len(ids))) AS p FROM x)
-SELECT ids[p + 1] AS recipe_id, CAST(p AS INTEGER) AS position, CASE WHEN p > 0 THEN ids[p] END AS previous_id, ids[p + 2] AS next_id FROM y""")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT v FROM v WHERE vec_id = 3),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(v.v, q.v), vec_id) AS rank FROM v, q WHERE vec_id <> 3 QUALIFY rank <= 200)
+SELECT vec_id AS recipe_id, CAST(rank - 1 AS INTEGER) AS position, lag(vec_id) OVER (ORDER BY rank) AS previous_id, lead(vec_id) OVER (ORDER BY rank) AS next_id FROM r""")
 def nav_in_ranked(spark, d):
-    ids = table(spark, d, "embeddings").where("vec_id < 200").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("vec_id") % 7).alias("k"), "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-    return navigation.in_ranked(ids)
+    """Next and previous among the 200 nearest of a kept search, whose ids are one array as long as its limit."""
+    near = vectors.similar(star_schema(spark, d).embeddings, 3, 200)
+    return navigation.in_ranked(near.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "recipe_id"))), lambda x: x["recipe_id"]).alias("ids")))
 
 
 @query("""SELECT vec_id AS recipe_id, row_number() OVER w - 1 AS position, lag(vec_id) OVER w AS previous_id, lead(vec_id) OVER w AS next_id FROM embeddings WINDOW w AS (ORDER BY vec_id % 7, vec_id)""")
 def nav_in_ranked_all(spark, d):
-    """nav_in_ranked over every vector."""
+    """Next and previous of every vector in an order of all."""
     rows = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("k"), F.floor(F.col("vec_id") / 16384).alias("part"))
     return navigation.in_ranked_rows(rows, ["k", "part"], ["vec_id"], "vec_id")
 
@@ -270,18 +273,10 @@ def clear_images(spark, d):
     return mutations.clear_images(star_schema(spark, d).recipes, 7).select("id", "image")
 
 
-@query("""WITH li AS (SELECT DISTINCT l_suppkey AS list_id, l_orderkey AS recipe_id FROM lineitem), p AS (SELECT 3 AS list_id, o_orderkey AS recipe_id FROM orders WHERE o_orderkey < 500)
-(FROM li EXCEPT FROM p) UNION ALL (FROM p EXCEPT FROM li)""")
-def list_toggle(spark, d):
-    c = star_schema(spark, d)
-    pair = c.recipes.where("id < 500").select(F.lit(3).cast("long").alias("list_id"), F.col("id").alias("recipe_id"))
-    return mutations.toggle(c.list_items, pair)
-
-
 @query("""WITH li AS (SELECT DISTINCT l_suppkey AS list_id, l_orderkey AS recipe_id FROM lineitem), p AS (SELECT 1 + o_orderkey % 10 AS list_id, o_orderkey AS recipe_id FROM orders)
 (FROM li EXCEPT FROM p) UNION ALL (FROM p EXCEPT FROM li)""")
 def list_toggle_all(spark, d):
-    """list_toggle with one pair for every order."""
+    """One pair for every order: in where it was out, out where it was in."""
     c = star_schema(spark, d)
     return mutations.toggle(c.list_items, c.recipes.select((1 + F.col("id") % 10).alias("list_id"), F.col("id").alias("recipe_id")))
 
@@ -402,13 +397,10 @@ def catalogue_query(spark, d):
 
 @query("""SELECT time_bucket(INTERVAL 60 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_windowed_counts(spark, d):
-    """An extension: the events counted as a stream in windows of an hour; each batch writes the windows so far."""
+    """An extension: the events counted as a stream in windows of an hour. Each batch upserts the windows that it changed,
+    and windows beyond the watermark leave the state."""
     folder = work_folder(spark, "windows")
     counts = windowed_counts(spark, d, table(spark, d, "events").schema, name="events.parquet")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("count").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts")
-
-    stream = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.parquet(f"{folder}/counts")
+    counts = counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("count").alias("n"))
+    stream_into(counts, f"{folder}/counts", ["start", "event_type"], ["n"], f"{folder}/checkpoint")
+    return BucketTable(spark, f"{folder}/counts", ["start", "event_type"]).read()

@@ -7,10 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.mutations import last_wins, upsert
 from ..operators.vectors import missing
+from .buckets import BucketTable
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -20,15 +19,22 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or local}/{name}_{uuid.uuid4().hex}"
 
 
-def upsert_stream(arriving: DataFrame, read_old, write_new, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Upserts a stream into a table: read_old() gives its rows, write_new(rows, batch) replaces them. Of rows that
-    share a key in one batch the last in `order` counts. A batch that is run again gives the same table."""
+def stream_into(arriving: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str) -> None:
+    """Upserts what has arrived into the bucketed table at path, batch by batch, and ends. The table's own version file
+    knows the batches it holds, so a batch that comes again is passed over and another driver goes on where one stopped."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        latest = last_wins(batch, key, [F.col(order)])
-        write_new(upsert(read_old(), latest, key), number)
-
-    return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        BucketTable(batch.sparkSession, path, key).upsert(batch, order=order, batch=number)
+
+    # timers on the clock would ask for a batch without data after each batch, and the run would never end
+    setting, spark = "spark.sql.streaming.noDataMicroBatches.enabled", arriving.sparkSession
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        stream = arriving.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
+    stream.awaitTermination()
 
 
 def backfill(recipes: DataFrame, embeddings: DataFrame, embed, text) -> DataFrame:
