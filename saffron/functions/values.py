@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 BLOCKS = 16
 SAMPLE = 10
-#: Chapters from which images count as apart, recipes up to which a file holds few.
-MANY_CHAPTERS, FEW_RECIPES = 150, 20
+#: Chapters beyond which images count as apart, chapters up to which each holds many recipes.
+MANY_CHAPTERS, FEW_CHAPTERS = 150, 20
 
 
 def date_of(text: Column) -> Column:
@@ -66,6 +66,11 @@ def images_apart(chapters: Column) -> Column:
     return chapters > MANY_CHAPTERS
 
 
+def many_per_file(chapters: Column) -> Column:
+    """Whether a book's few files each hold many recipes."""
+    return chapters <= FEW_CHAPTERS
+
+
 def json_array(text: Column) -> Column:
     """The elements of a JSON array as JSON texts; what is no array is empty."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

@@ -8,10 +8,14 @@ list_items(id, list_id, recipe_id, created_at) · embeddings(recipe_id, embeddin
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .plans.substring import SubstringIndex
+
 
 @dataclass(frozen=True)
 class Catalogue:
@@ -25,6 +29,8 @@ class Catalogue:
     #: recipe_keywords in which a link may stand more than once; searches ask only whether one exists, so they read
     #: these and no shuffle makes them distinct.
     raw_links: DataFrame | None = None
+    #: A SubstringIndex of described() by which searches narrow what they read.
+    substrings: SubstringIndex | None = None
 
     def described(self) -> DataFrame:
         """recipes with their book's title and author."""

@@ -69,7 +69,17 @@ def usage(steps: DataFrame) -> DataFrame:
 
 
 def facet(rows: DataFrame, column: str) -> DataFrame:
-    return rows.select(column).distinct()
+    """The values of a column, each once, in order."""
+    return rows.select(column).distinct().orderBy(column)
+
+
+def any_rows(**tables: DataFrame) -> DataFrame:
+    """One row that tells of each table whether it has any; a row at most is read of each."""
+    flags = [rows.limit(1).select(F.lit(name).alias("name")) for name, rows in tables.items()]
+    found = flags[0]
+    for more in flags[1:]:
+        found = found.union(more)
+    return found.agg(*[F.coalesce(F.bool_or(F.col("name") == name), F.lit(False)).alias(name) for name in tables])
 
 
 def matches_all_terms(fields: list[Column], query: str) -> Column:

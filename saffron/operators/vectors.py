@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import mutations
 
+#: Queries of one matrix product; more are taken in blocks, each of which reads all vectors.
+QUERIES = 1024
+#: Rows of one matrix product.
+ROWS = 4096
+#: Products of unit vectors nearer than this may be in another order when they are summed up one by one.
+SLACK = 1e-9
+#: Recipes of a search joined by a broadcast.
+FEW = 100_000
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,6 +43,101 @@ def search(embeddings: DataFrame, query: list[float], k: int, exclude=None) -> D
     return near.agg(F.array_sort(F.collect_list(F.struct("distance", "recipe_id"))).alias("r")).select(F.posexplode("r").alias("rank", "x")).select("x.recipe_id", "x.distance", (F.col("rank") + 1).alias("rank"))
 
 
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold vectors of a width without nulls, these vectors as a matrix)."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    whole = np.flatnonzero(lengths == width)
+    values = column.take(pa.array(whole)).flatten().cast(pa.float64())
+    matrix = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False).reshape(len(whole), width)
+    if values.null_count:
+        good = ~np.isnan(matrix).any(1)
+        whole, matrix = whole[good], matrix[good]
+    return whole, matrix
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    length = np.sqrt((matrix * matrix).sum(1, keepdims=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(length == 0, np.nan, matrix / length)
+
+
+def _nearest(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """The rows that may be among the k best: those whose score is within SLACK of the k-th; of equal vectors, which keep
+    the order of their ids, no more than k."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    low = np.where(np.isnan(scores), -2.0, scores)
+    near = np.flatnonzero(low >= np.partition(low, -k)[-k] - SLACK)
+    if len(near) > 2 * k:
+        order = near[np.argsort(ids[near], kind="stable")]
+        same = np.zeros(len(order), np.int64)
+        seen: dict[bytes, int] = {}
+        for i, row in enumerate(vectors[order]):
+            same[i] = seen[key] = seen.get(key := row.tobytes(), -1) + 1
+        near = order[same < k]
+    return near
+
+
+def search_many(embeddings: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(query_id, recipe_id, distance, rank): the k nearest of embeddings (recipe_id, embedding) for each of many queries
+    (query_id, embedding), exactly; ties by id, the zero vector's NaN last. exclude_self: not the query's own id.
+
+    Vectors are taken in batches, one matrix product for a block of queries, and each task keeps its best; the distances of
+    what is left are then summed up as cosine_distance does. Vectors that are null, hold a null or have another width than
+    the query find nothing and are not found; a query's id has one vector."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+    asked = asked.where(F.col("query").isNotNull() & ~F.exists("query", lambda x: x.isNull()) & (F.size("query") > 0))
+    blocks, out = max(1, -(-asked.count() // QUERIES)), None
+    stored = embeddings.select(F.col("recipe_id").cast("long").alias("recipe_id"), "embedding")
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about QUERIES rows
+        for width in sorted({len(r["query"]) for r in mine}):
+            here = [r for r in mine if len(r["query"]) == width]
+            found = _partial(stored, np.array([r["query_id"] for r in here], np.int64), np.array([r["query"] for r in here], np.float64), k, exclude_self)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = _partial(stored.limit(0), np.zeros(0, np.int64), np.zeros((0, 1)), k, exclude_self)
+    scored = out.withColumn("distance", cosine_distance(F.col("embedding"), F.col("query"))).select("query_id", "recipe_id", "distance", "part")
+    best = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "recipe_id"))).where(F.col("rank") <= k)
+    # the tasks' best meet in two steps, so that no task takes in more than a share of them
+    some = best(scored.withColumn("some", F.col("part") % 128), ["query_id", "some"]).drop("rank")
+    return best(some, ["query_id"]).select("query_id", "recipe_id", "distance", "rank")
+
+
+def _partial(stored: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
+    """(part, query_id, query, recipe_id, embedding): what each task holds of the queries' nearest."""
+    unit, width = _unit(queries), queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, width)))] * len(query_ids)
+        part = None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                part = batch.column("part")[0].as_py()
+                at, matrix = _matrix(batch.column("embedding"), width)
+                ids = batch.column("recipe_id").to_numpy(zero_copy_only=False)[at]
+                if not len(ids):
+                    continue
+                scores = _unit(matrix) @ unit.T
+                for q, (old, old_ids, old_rows) in enumerate(best):
+                    mine = scores[:, q]
+                    keep = ids != query_ids[q] if exclude_self else np.ones(len(ids), bool)
+                    if len(old) >= k:  # most batches have few rows that come near
+                        keep &= ~(np.where(np.isnan(mine), -2.0, mine) < np.where(np.isnan(old), -2.0, old).min() - 2 * SLACK)
+                    new = np.flatnonzero(keep)
+                    if len(new):
+                        all_scores, all_ids, rows = np.r_[old, mine[new]], np.r_[old_ids, ids[new]], np.r_[old_rows, matrix[new]]
+                        near = _nearest(all_scores, all_ids, rows, k)
+                        best[q] = (all_scores[near], all_ids[near], rows[near])
+        for q, (scores, ids, rows) in enumerate(best):
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids)), pa.array([query_ids[q]] * len(ids), pa.int64()), pa.array([queries[q]] * len(ids), pa.list_(pa.float64())), pa.array(ids), pa.array(list(rows), pa.list_(pa.float64()))], ["part", "query_id", "query", "recipe_id", "embedding"])
+
+    keyed = stored.where(F.col("recipe_id").isNotNull()).select(F.spark_partition_id().cast("long").alias("part"), "recipe_id", "embedding")
+    return keyed.mapInArrow(run, "part bigint, query_id bigint, query array<double>, recipe_id bigint, embedding array<double>")
+
+
 def vector_of(embeddings: DataFrame, recipe_id) -> list[float] | None:
     row = embeddings.where(F.col("recipe_id") == recipe_id).select("embedding").first()
     return None if row is None else list(row[0])
@@ -42,8 +150,10 @@ def similar(embeddings: DataFrame, recipe_id, k: int = 8) -> DataFrame:
 
 
 def ranked_recipes(near: DataFrame, recipes: DataFrame) -> DataFrame:
-    """The recipes of a vector search in its order; ids without a recipe are passed over after the limit has counted."""
-    return recipes.join(F.broadcast(near.withColumnRenamed("recipe_id", "id")), "id")
+    """The recipes of a vector search with their rank; ids without a recipe are passed over after the limit has counted."""
+    near = near.withColumnRenamed("recipe_id", "id")
+    few = near.limit(FEW + 1).count() <= FEW
+    return recipes.join(F.broadcast(near) if few else near, "id")
 
 
 def upsert(embeddings: DataFrame, new: DataFrame) -> DataFrame:

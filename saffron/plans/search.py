@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..model import Catalogue
 from .filters import RELATIONS, Condition, Search, text_predicate
+from .pages import NARROW, Pages
 
 #: Fields of recipes and their books as text; a list counts as its elements, one in each line.
 FIELDS = {"author": "author", "book": "title", "title": "title"}
@@ -64,7 +65,8 @@ def _with_absent(recipes: DataFrame, rows: DataFrame, condition: Condition, flag
 
 def build(search: Search, catalogue: Catalogue) -> DataFrame:
     """The recipes found, with title and author, unsorted."""
-    recipes, related = catalogue.described(), _related(catalogue)
+    related = _related(catalogue)
+    recipes = catalogue.described() if catalogue.substrings is None else catalogue.substrings.narrowed(search)
     relations = {name: _Relation(related[name], name, []) for name in RELATIONS}
     # a book that does not exist is passed over, and a search that asks for nothing finds nothing
     book = search.book is not None and not catalogue.books.where(F.col("id") == search.book).limit(1).isEmpty()
@@ -184,21 +186,17 @@ def run(search: Search, catalogue: Catalogue) -> DataFrame:
     return paged(*ordering(search, build(search, catalogue), catalogue), search.page, search.per_page)
 
 
-def last_page(rows: int, per_page: int) -> int:
-    return max(1, -(-rows // per_page))
+def get_page(rows: DataFrame, order: list[By], page: int, per_page: int) -> tuple[DataFrame, int]:
+    """(rows of the page, number of all rows); a page beyond the last is the last. Where there are many rows, only a narrow
+    range of keys around the page is sorted. For page after page of one result keep a Pages; page_after reads on from any
+    row without counting."""
+    pages = pages_of(rows, order)
+    return pages.page(page, per_page), pages.total
 
 
-def get_page(rows: DataFrame, order: list[By], page: int, per_page: int) -> tuple[DataFrame, int]:
-    """(rows of the page, number of all rows); a page beyond the last is the last. A page of the second half is taken from
-    the end, so that no more than the rows on its nearer side are gathered with it; page_after reads on from any row."""
-    total = rows.count()
-    page = min(max(1, page), last_page(total, per_page))
-    before = (page - 1) * per_page
-    here = min(per_page, total - before)
-    if before <= total - before - here:
-        return paged(rows, order, page, per_page), total
-    from_end = rows.orderBy(*[k.sorted(False) for k in order]).offset(total - before - here).limit(here)
-    return from_end.orderBy(*[k.sorted() for k in order]), total
+def pages_of(rows: DataFrame, order: list[By], narrow: int = NARROW) -> Pages:
+    """The pages of a sorted result by number, of which at most about `narrow` rows are sorted for one."""
+    return Pages(rows, order, _past, narrow)
 
 
 def with_keywords(page: DataFrame, catalogue: Catalogue) -> DataFrame:

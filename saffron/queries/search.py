@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..model import star_schema
 from ..operators import vectors
 from ..plans import search as plan
+from ..plans import substring
 from ..plans.filters import Condition, Group, Search, parse
+from ..streaming.incremental import work_folder
 
 #: What the searches below read, as common table expressions.
 TABLES = r"""
@@ -167,3 +170,20 @@ ORACLE_SQL["sort_relevance"] = f"""{TABLES}, v AS (SELECT vec_id, CAST(embedding
 near AS (SELECT v.vec_id AS id, list_cosine_distance(v.e, q.e) AS distance FROM v JOIN v q ON q.vec_id = 3 AND v.vec_id <> 3 ORDER BY distance, id LIMIT 40),
 f AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM near)
 SELECT id, CAST(rank AS INTEGER) AS rank, name FROM f JOIN r USING (id) ORDER BY rank LIMIT 30"""
+
+
+def _indexed(name: str, of: str, search: Search) -> None:
+    """Registers a search that goes by a trigram index made of the catalogue; its SQL is that of the search without one."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        catalogue = star_schema(spark, d)
+        recipes = catalogue.described()
+        kept = substring.build(recipes, substring.texts_of(recipes, catalogue.searched_keywords()), work_folder(spark, "trigrams"))
+        return plan.build(search, replace(catalogue, substrings=kept)).select(*COLUMNS)
+
+    QUERIES[name], ORACLE_SQL[name] = run, ORACLE_SQL[of]
+
+
+_indexed("indexed_quick", "search_quick_author", Search(text="nation_12"))
+_indexed("indexed_groups", "search_groups_and", Search(groups=_mixed_groups, group_logic=AND))
+_indexed("indexed_keywords", "search_m2m_and", Search(groups=(Group(AND, (_c("keywords", "contains", "ring"), _c("keywords", "contains", "red"))),)))

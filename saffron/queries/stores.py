@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 from collections.abc import Callable
@@ -10,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..model import star_schema, table
-from ..sources import book_files, catalogue
+from ..operators import analytics, vectors
+from ..plans import search
+from ..sources import book_files, catalogue, completion
 from ..sources.sqlite import local
 from ..streaming import buckets, extraction
 from ..streaming.incremental import stream_into, work_folder
@@ -188,3 +192,49 @@ def workflow_states(spark, d):
     rows.where("seq > 2").write.mode("append").parquet(f"{folder}/steps")
     decisions.write.mode("append").parquet(f"{folder}/decisions")
     return run_workflow(spark, f"{folder}/steps", f"{folder}/decisions", folder).select("book_id", "stage", "status", "tried", "response", "steps")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT q.vec_id AS query_id, c.vec_id AS recipe_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(c.v, q.v), c.vec_id) AS INTEGER) AS rank
+FROM v q JOIN v c ON q.vec_id % 7 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 8""")
+def knn_many(spark, d):
+    """The eight nearest of every seventh vector, by one matrix product a batch for all of them."""
+    e = star_schema(spark, d).embeddings
+    queries = e.where("recipe_id % 7 = 0").select(F.col("recipe_id").alias("query_id"), "embedding")
+    return vectors.search_many(e, queries, 8, exclude_self=True).select("query_id", "recipe_id", "rank")
+
+
+@query("""SELECT l_shipdate AS shipped, l_orderkey AS id, l_linenumber AS line FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 60 OFFSET ((SELECT count(*) FROM lineitem) // 2 // 60) * 60""")
+def page_deep(spark, d):
+    """A page from the middle of all lines: ranges of keys are counted, and one narrow range is sorted."""
+    lines = table(spark, d, "lineitem").select(F.col("l_shipdate").alias("shipped"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"))
+    pages = search.pages_of(lines, [search.By(F.col("shipped"), True), search.By(F.col("id")), search.By(F.col("line"))], narrow=1000)
+    return pages.page(pages.total // 2 // 60 + 1, 60)
+
+
+@query("""SELECT o_orderkey AS id, CAST(CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'O' THEN 0 ELSE 1 END AS INTEGER) AS n_recipes, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS DOUBLE) / 2 END AS minutes FROM orders""")
+def answers_by_schema_file(spark, d):
+    """Answers read by a JSON schema that stands in a file: complete ones, ones without a required field, and no JSON."""
+    path = work_folder(spark, "schema")
+    fields = {"name": {"type": "string"}, "minutes": {"type": ["number", "null"]}, "steps": {"type": "array", "items": {"type": "string"}}}
+    schema = {"type": "array", "items": {"type": "object", "properties": fields, "required": ["name", "steps"]}}
+    spark.createDataFrame([(json.dumps(schema, indent=1),)], "value string").coalesce(1).write.text(path)
+    kind, required = completion.schema_of(spark, path)
+    some = F.struct(F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") / 2).alias("minutes"))
+    whole = F.struct("some.*", F.array(F.lit("boil")).alias("steps"))
+    status = F.col("o_orderstatus")
+    answer = F.when(status == "P", "no list").when(status == "O", F.to_json(F.array("some"))).otherwise(F.to_json(F.array(whole)))
+    rows = table(spark, d, "orders").withColumn("some", some).select(F.col("o_orderkey").alias("id"), completion.answered(answer, kind, required).alias("r"))
+    return rows.select("id", F.when(F.col("r").isNotNull(), F.size("r")).alias("n_recipes"), F.get("r", F.lit(0))["minutes"].alias("minutes"))
+
+
+@query("SELECT (SELECT count(*) > 0 FROM customer) AS has_books, (SELECT count(*) > 0 FROM orders) AS has_recipes, (SELECT count(*) > 0 FROM orders WHERE o_orderkey < 0) AS has_drafts")
+def any_rows(spark, d):
+    c = star_schema(spark, d)
+    return analytics.any_rows(has_books=c.books, has_recipes=c.recipes, has_drafts=c.recipes.where("id < 0"))
+
+
+@query("SELECT o_custkey AS book_id, CASE WHEN count(*) <= 20 THEN 'many' ELSE 'one' END AS per_file FROM orders GROUP BY 1")
+def recipes_per_file(spark, d):
+    chapters = star_schema(spark, d).recipes.groupBy("book_id").agg(F.count("*").alias("n"))
+    return chapters.select("book_id", F.when(values.many_per_file(F.col("n")), "many").otherwise("one").alias("per_file"))

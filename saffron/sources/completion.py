@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..streaming.limiter import TokenBucket
+from ..streaming.grants import Client, shared
 
 #: A prompt and a model's name give the answer and its (cost, tokens in, tokens out).
 Complete = Callable[[str, str], tuple[str, tuple[float, int, int]]]
@@ -46,33 +48,57 @@ def retried(call: Callable, *args, attempts: int = ATTEMPTS, first_wait: float =
             sleep(first_wait * 2**i)
 
 
-def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256, tasks: int = 16, first_wait: float = FIRST_WAIT_S) -> DataFrame:
-    """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). The prompts are dealt
-    out to `tasks` tasks, each with its share of the rate; a prompt whose attempts all fail has its error, and the
-    others go on."""
-    share, names = rate_per_minute / tasks, ["key", "response", "cost_usd", "input_tokens", "output_tokens", "error"]
+def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256, at_once: int = 16, first_wait: float = FIRST_WAIT_S, grants: Client | None = None) -> DataFrame:
+    """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). at_once tasks call the
+    provider, and the driver grants their calls, second tries included, so that rate and calls at once hold for all of them
+    together (and for other jobs with the same rate and slots, or the same grants). A prompt whose attempts all fail has its
+    error, and the others go on."""
+    names = ["key", "response", "cost_usd", "input_tokens", "output_tokens", "error"]
     types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+    client = grants or shared(prompts.sparkSession, rate_per_minute, at_once)
 
     def run(batches):
-        bucket = TokenBucket(share / 60, max(1, int(share // 6)))
-        for batch in batches:
-            rows = []
-            for key, prompt, model in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bucket.acquire()
-                try:
-                    answer, (cost, tokens_in, tokens_out) = retried(complete, prompt, model, first_wait=first_wait)
-                    rows.append((key, answer, cost, tokens_in, tokens_out, None))
-                except Exception as e:
-                    rows.append((key, None, 0.0, 0, 0, str(e)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        with client.connected() as granted:
+
+            def call(prompt, model):
+                with granted():
+                    return complete(prompt, model)
 
-    return prompts.select(F.col("key").cast("string").alias("key"), "prompt", "model").repartition(tasks).mapInArrow(run, "key string, response string, cost_usd double, input_tokens int, output_tokens int, error string")
+            for batch in batches:
+                rows = []
+                for key, prompt, model in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    try:
+                        answer, (cost, tokens_in, tokens_out) = retried(call, prompt, model, first_wait=first_wait)
+                        rows.append((key, answer, cost, tokens_in, tokens_out, None))
+                    except Exception as e:
+                        rows.append((key, None, 0.0, 0, 0, str(e)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt", "model").repartition(at_once).mapInArrow(run, "key string, response string, cost_usd double, input_tokens int, output_tokens int, error string")
 
-def answered(response: Column) -> Column:
+
+def answered(response: Column, kind: str | T.DataType = ANSWER, required: Sequence[str] = REQUIRED) -> Column:
     """The recipes of an answer in JSON that have all required fields; null where the text is no such list."""
-    return F.filter(F.from_json(response, ANSWER), lambda r: reduce(and_, (r[f].isNotNull() for f in REQUIRED)))
+    return F.filter(F.from_json(response, kind), lambda r: reduce(and_, (r[f].isNotNull() for f in required), F.lit(True)))
+
+
+def schema_of(spark: SparkSession, path: str) -> tuple[T.DataType, list[str]]:
+    """(type, required fields) of a JSON schema's file, for answered(). Arrays, objects and simple types are known, a type
+    that may also be null counts as the other; what has no known type is read as text."""
+    schema = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    elements = schema.get("items", {}) if schema.get("type") == "array" else schema
+    return _type_of(schema), list(elements.get("required", ()))
+
+
+def _type_of(schema: dict) -> T.DataType:
+    kinds = schema.get("type", "string")
+    kind = next((k for k in ([kinds] if isinstance(kinds, str) else kinds) if k != "null"), "string")
+    if kind == "array":
+        return T.ArrayType(_type_of(schema.get("items", {})))
+    if kind == "object" and schema.get("properties"):
+        return T.StructType([T.StructField(name, _type_of(x)) for name, x in schema["properties"].items()])
+    return {"number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}.get(kind, T.StringType())
 
 
 def embedded(texts: DataFrame, embed: Embed) -> DataFrame:
