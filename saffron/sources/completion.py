@@ -86,7 +86,7 @@ def answered(response: Column, kind: str | T.DataType = ANSWER, required: Sequen
 def schema_of(spark: SparkSession, path: str) -> tuple[T.DataType, list[str]]:
     """(type, required fields) of a JSON schema's file, for answered(). Arrays, objects and simple types are known, a type
     that may also be null counts as the other; what has no known type is read as text."""
-    schema = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    schema = json.loads(spark.read.text(path, wholetext=True).first()[0])
     elements = schema.get("items", {}) if schema.get("type") == "array" else schema
     return _type_of(schema), list(elements.get("required", ()))
 
