@@ -7,10 +7,14 @@ table cells in aligned columns, preformatted text as it is; each option of a cho
 the lines of a text field on lines of their own, formulas as their text. Not visible are scripts, styles, the head,
 titles, comments, templates, noscript, what stands in for embedded things (iframe, object, audio, video, canvas), the
 entries of a datalist, annotations of formulas, what a drawing only defines or says outside its text elements, elements
-with the attribute hidden, and those styled display:none or visibility:hidden.
+with the attribute hidden, a dialog that is not open, and elements styled display:none; nor is text whose nearest styled
+element has visibility:hidden (within one, visibility:visible shows again). What a details element folds away is shown.
 
-A page is read once from its start to its end, and the tree is walked with a stack, so neither long broken pages nor deep
-ones are a matter of their own. A cell that spans columns fills them, one that spans rows leaves its place free below.
+A page is read once from its start to its end, open elements are found by their names, and the tree is walked with a
+stack, so neither long broken pages nor deep ones are a matter of their own. Indents grow to INDENT columns. Cells of a
+table within NESTED tables stand on lines of their own, and those of a table that would be blanks above all (LOOSE, ROOM)
+two blanks apart. A cell that spans columns reaches to where the next one begins, one that spans rows
+leaves its place free below. Wide characters count as two when cells are aligned, combining ones as none.
 
 Defined results: null or empty html gives the empty text. Rows that repeat are rendered each for itself; extra columns are ignored.
 """
@@ -19,6 +23,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,36 +53,70 @@ ENDS |= {"option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup":
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FENCES = frozenset({"td", "th", "li", "dd", "dt", "table", "caption", "body", "html", "div", "section", "article", "blockquote"})
 
+#: Indents end here, so that deep lists cost no more than their text; tables within so many tables, and tables that would
+#: hold more than LOOSE times their text and ROOM in blanks, are not aligned.
+INDENT, NESTED, LOOSE, ROOM = 64, 8, 16, 1 << 16
+
 #: A tag up to its name; what is no tag.
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*+)>")
 _TEXT = re.compile(r"[^<]++|<[^<]*+")
 _OUTSIDE_QUOTES = re.compile(r"""[^'">]*+""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+_COMMENT = re.compile(r"<!--(?:-?>|(?=[^>-]|-[^>]|-?$))")
+_COMMENT_END = re.compile("--!?>")
 _BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "foreign")
+    __slots__ = ("tag", "attrs", "children", "foreign", "shows")
 
-    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = ""):
-        """foreign: svg or math where the content is read by the rules of a drawing or a formula."""
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = "", shows: bool = True):
+        """foreign: svg or math where the content is read by the rules of a drawing or a formula. shows: whether text within
+        is visible where the element itself says nothing of it."""
         self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
+        said = _VISIBILITY.findall(attrs["style"]) if "style" in attrs else ()
+        said = said[-1].lower() if said else attrs.get("visibility", "") if foreign else ""
+        self.shows = said == "visible" if said in ("visible", "hidden", "collapse") else shows
 
     def seen(self) -> bool:
-        return self.tag not in UNSEEN and "hidden" not in self.attrs and not _HIDDEN.search(self.attrs.get("style", ""))
+        if self.tag in UNSEEN or "hidden" in self.attrs or self.tag == "dialog" and "open" not in self.attrs:
+            return False
+        return not ("style" in self.attrs and _GONE.search(self.attrs["style"]))
 
+    def add(self, text: str) -> None:
+        """Text that does not show is left out at once."""
+        if self.shows:
+            self.children.append(text)
 
-def _close(stack: list[Node], tags: set[str], fences) -> None:
-    """Ends the outermost open element of `tags` that no fence stands before."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            while i > 1 and stack[i - 1].tag in tags:
-                i -= 1
-            del stack[i:]
-            return
-        if stack[i].tag in fences:
+
+class Open:
+    """The open elements, the root first, and where those of each name stand among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def close(self, tags: set[str], fences) -> None:
+        """Ends the innermost open element of `tags` that no fence stands in, and those of `tags` right around it."""
+        first = self._last(tags)
+        if not first or first < self._last(fences):
             return
+        while first > 1 and self.nodes[first - 1].tag in tags:
+            first -= 1
+        while len(self.nodes) > first:
+            self.pop()
 
 
 def _attributes(text: str) -> tuple[dict[str, str], bool]:
@@ -116,72 +158,86 @@ class _Tags:
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root, tags = Node("html", {}), _Tags(page)
-    stack, at = [root], 0
+    stack, at = Open(root), 0
+    nodes = stack.nodes
     while at < len(page):
-        if stack[-1].foreign and page.startswith("<![CDATA[", at):
+        top = nodes[-1]
+        if top.foreign and page.startswith("<![CDATA[", at):
             end = page.find("]]>", at)
-            stack[-1].children.append(page[at + 9 : end if end >= 0 else len(page)])
+            top.add(page[at + 9 : end if end >= 0 else len(page)])
             at = end + 3 if end >= 0 else len(page)
             continue
         if page.startswith(("<!", "<?"), at):
-            mark = "-->" if page.startswith("<!--", at) else ">"
-            end = page.find(mark, at + (4 if mark == "-->" else 2))
-            at = end + len(mark) if end >= 0 else len(page)
+            m = _COMMENT.match(page, at)
+            if m is None or m[0] != "<!--":
+                end = page.find(">", at + 2) if m is None else m.end() - 1
+            else:
+                m = _COMMENT_END.search(page, at + 4)
+                end = m.end() - 1 if m else -1
+            at = end + 1 if end >= 0 else len(page)
             continue
-        m = _TAG.match(page, at)
-        end = tags.end(m.end()) if m else -1
+        plain = _PLAIN.match(page, at)
+        m = None if plain else _TAG.match(page, at)
+        end = plain.end() - 1 if plain else tags.end(m.end()) if m else -1
         if end < 0:
             m = _TEXT.match(page, at)
             at = m.end()
-            if stack[-1].tag == "head" and _BLANK.sub("", m[0]):
+            if top.tag == "head" and _BLANK.sub("", m[0]):
                 stack.pop()
-            stack[-1].children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
+            nodes[-1].add(html.unescape(m[0]) if "&" in m[0] else m[0])
             continue
-        at, closes, inner = end + 1, page[at + 1] == "/", page[m.end() : end]
-        tag = m[1].lower()
-        if stack[-1].tag == "head" and (tag in ("body", "html", "br") if closes else tag not in HEAD):
+        if plain:
+            at, closes, inner, tag = end + 1, plain[1], "", plain[2].lower()
+        else:
+            at, closes, inner, tag = end + 1, page[at + 1] == "/", page[m.end() : end], m[1].lower()
+        if top.tag == "head" and len(nodes) > 1 and (tag in ("body", "html", "br") if closes else tag not in HEAD):
             stack.pop()
         if closes:
             if tag not in VOID:
-                _close(stack, {tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})
+                stack.close({tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})
             continue
-        if stack[-1].foreign and tag in OUTSIDE:
-            while stack[-1].foreign:
+        if nodes[-1].foreign and tag in OUTSIDE:
+            while nodes[-1].foreign:
                 stack.pop()
-        attrs, closed = _attributes(inner) if inner.strip(" \t\n\r\f/") else ({}, inner.endswith("/"))
-        foreign = stack[-1].foreign or (tag if tag in ("svg", "math") else "")
+        attrs, closed = ({}, False) if not inner else _attributes(inner) if inner.strip(" \t\n\r\f/") else ({}, inner.endswith("/"))
+        foreign = nodes[-1].foreign or (tag if tag in ("svg", "math") else "")
         if foreign:
-            if tag in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") == "hidden":
+            if tag in UNDRAWN or attrs.get("display") == "none":
                 attrs["hidden"] = ""
-            node = Node(tag, attrs, "" if tag in ISLANDS else foreign)
-            stack[-1].children.append(node)
+            node = Node(tag, attrs, foreign, nodes[-1].shows)
+            node.foreign = "" if tag in ISLANDS else foreign
+            nodes[-1].children.append(node)
             if not closed:
-                stack.append(node)
+                stack.push(node)
             continue
         if tag in BLOCK:
-            _close(stack, {"p"}, FENCES)
+            stack.close({"p"}, FENCES)
         if tag in ENDS:
-            _close(stack, *ENDS[tag])
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
+            stack.close(*ENDS[tag])
+        node = Node(tag, attrs, "", nodes[-1].shows)
+        nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at) if page.rfind(">", at) >= 0 else None
             if tag == "textarea":
                 field = page[at : end.start() if end else len(page)].replace("\r\n", "\n")
-                node.children.append(html.unescape(field.removeprefix("\n")))
+                node.add(html.unescape(field.removeprefix("\n")))
             at = end.end() if end else len(page)
         elif tag not in VOID:
-            stack.append(node)
+            stack.push(node)
     return root
 
 
 class Canvas:
-    """Lines being written: words are joined by single spaces, blocks begin new lines, gaps become one blank line."""
+    """Lines being written: words are joined by single spaces, blocks begin new lines, gaps become one blank line. Within
+    an indent the first line gets its mark, the others as many blanks; an indent's first and last gaps are dropped."""
 
-    def __init__(self):
+    def __init__(self, depth: int = 0):
+        """depth: tables around this canvas."""
+        self.depth = depth
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = self.gap = False
+        self.indent, self.lead, self.fresh, self.outer = "", None, True, []
 
     def text(self, words: str) -> None:
         collapsed = _BLANK.sub(" ", words)
@@ -196,21 +252,34 @@ class Canvas:
 
     def end_line(self, gap: bool = False) -> None:
         if self.line:
-            self._put("".join(self.line))
+            self.put("".join(self.line))
             self.line = []
         self.space = False
-        self.gap |= gap
+        self.gap |= gap and not self.fresh
 
-    def _put(self, line: str) -> None:
-        if self.gap and self.lines:
+    def put(self, line: str) -> None:
+        if self.gap:
             self.lines.append("")
-        self.gap = False
-        self.lines.append(line)
+        self.gap = self.fresh = False
+        self.lines.append((self.indent if self.lead is None else self.lead) + line if line else line)
+        self.lead = None if line else self.lead
 
-    def put_all(self, lines: list[str]) -> None:
+    def enter(self, mark: str) -> None:
         self.end_line()
-        for line in lines:
-            self._put(line)
+        self.outer.append((self.indent, self.lead, self.fresh, self.gap))
+        lead = self.indent if self.lead is None else self.lead
+        if len(lead) < INDENT:
+            self.lead, self.indent = lead + mark, self.indent + " " * len(mark)
+        self.fresh = True
+
+    def leave(self) -> None:
+        self.end_line()
+        indent, lead, fresh, gap = self.outer.pop()
+        self.indent = indent
+        if self.fresh:  # nothing was written
+            self.lead, self.fresh, self.gap = lead, fresh, gap
+        else:
+            self.lead, self.gap = None, False
 
 
 def _walk(task):
@@ -226,17 +295,19 @@ def _walk(task):
     return value
 
 
-def _inside(node: Node, pre: bool = False):
-    canvas = Canvas()
+def _inside(node: Node, depth: int = 0):
+    canvas = Canvas(depth)
     for child in node.children:
-        yield _draw(child, canvas, pre)
+        yield _draw(child, canvas, False)
     canvas.end_line()
     return canvas.lines
 
 
-def _item(node: Node, mark: str):
-    lines = yield _inside(node)
-    return [(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines)]
+def _indented(node: Node, mark: str, canvas: Canvas):
+    canvas.enter(mark)
+    for child in node.children:
+        yield _draw(child, canvas, False)
+    canvas.leave()
 
 
 def _seen_below(node: Node, wanted: frozenset, through):
@@ -256,48 +327,91 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(most, int(value)) if re.fullmatch("[0-9]{1,9}", value) and int(value) else 1
 
 
+def _wide(text: str) -> int:
+    """The columns that a text takes on a screen of equally wide characters."""
+    return len(text) if text.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _grid(rows: list[Node], depth: int):
+    """For each row its cells as (first column, column after the last, lines)."""
+    grid, held = [], []  # held: places that cells from above still fill, as (first column, end, last row)
+    for r, row in enumerate(rows):
+        line, column, i, new = [], 0, 0, []
+        for cell in row.children:
+            if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.seen():
+                while i < len(held) and held[i][0] <= column:
+                    column = max(column, held[i][1])
+                    i += 1
+                width, last = _span(cell, "colspan", 1000), min(r - 1 + _span(cell, "rowspan", 65534), len(rows) - 1)
+                line.append((column, column + width, (yield _inside(cell, depth))))
+                if last > r:
+                    new.append((column, column + width, last))
+                column += width
+        grid.append(line)
+        left = [h for h in held if h[2] > r]
+        if new or len(left) < len(held):
+            held = []
+            for first, end, last in sorted([*left, *new]):
+                if held and held[-1][1] >= first and held[-1][2] == last:  # cells that end in one row fill one place
+                    held[-1] = (held[-1][0], max(held[-1][1], end), last)
+                else:
+                    held.append((first, end, last))
+    return grid
+
+
 def _table(node: Node, canvas: Canvas):
     for child in node.children:  # what stands in a table outside its rows is shown before it
         if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot"):
             yield _draw(child, canvas, False)
     rows = list(_seen_below(node, frozenset({"tr"}), lambda x: x.tag in ("thead", "tbody", "tfoot")))
-    grid, below = [], {}  # below: column -> rows for which a cell from above still fills it
-    for row in rows:
-        line, column = [], 0
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.seen():
-                while below.get(column, 0) > 0:
-                    column += 1
-                width, height = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
-                line.append((column, width, (yield _inside(cell))))
-                for c in range(column, column + width):
-                    below[c] = height
-                column += width
-        below = {c: n - 1 for c, n in below.items() if n > 1}
-        grid.append(line)
-    columns = max((column + 1 for line in grid for column, _, _ in line), default=0)
-    widths = [0] * columns
+    if canvas.depth >= NESTED:
+        for row in rows:
+            for cell in row.children:
+                canvas.end_line()
+                yield _draw(cell, canvas, False)
+        return
+    grid = yield _grid(rows, canvas.depth + 1)
+    # only columns in which a cell begins count; a span goes on to the last of them that it covers
+    begins = sorted({first for line in grid for first, _, _ in line})
+    number = {c: i for i, c in enumerate(begins)}
+    grid = [[(number[first], bisect_left(begins, end) - 1, cell, [_wide(x) for x in cell]) for first, end, cell in line] for line in grid]
+    widths = [0] * len(begins)
     for line in grid:
-        for column, width, cell in line:
-            if min(width, columns - column) == 1:
-                widths[column] = max(widths[column], *map(len, cell), 0)
+        for first, last, _, wide in line:
+            if first == last:
+                widths[first] = max(widths[first], *wide, 0)
+    sums = [0, *accumulate(w + 2 for w in widths)]
+    grown = [0] * len(begins)
     for line in grid:
-        for column, width, cell in line:
-            last = min(column + width, columns) - 1
-            if last > column:  # what its columns lack for it, the last of them gets
-                widths[last] += max(0, max(map(len, cell), default=0) - sum(widths[column : last + 1]) - 2 * (last - column))
-    starts = [sum(widths[:c]) + 2 * c for c in range(columns)]
+        for first, last, _, wide in line:
+            if last > first:  # what its columns lack for it, the last of them gets
+                grown[last] = max(grown[last], max(wide, default=0) - (sums[last + 1] - sums[first] - 2))
+    starts = [0, *accumulate(w + g + 2 for w, g in zip(widths, grown, strict=True))]
     canvas.end_line()
+    full = sum(map(sum, (wide for line in grid for *_, wide in line)))
+    if sum(starts[first] for line in grid for first in _ends(line)) > LOOSE * full + ROOM:
+        starts = [0] * len(starts)
     for row, line in zip(rows, grid, strict=True):
         for other in row.children:
             if isinstance(other, str) and other.strip() or isinstance(other, Node) and other.tag not in ("td", "th"):
                 yield _draw(other, canvas, False)
-        for k in range(max((len(cell) for _, _, cell in line), default=0)):
-            text = ""
-            for column, _, cell in line:
-                if k < len(cell):
-                    text = text.ljust(starts[column]) + cell[k]
-            canvas.put_all([text.rstrip()])
+        lines: list[tuple[list[str], list[int]]] = [([], [0]) for _ in range(max((len(cell) for _, _, cell, _ in line), default=0))]
+        for first, _, cell, wide in line:
+            for (parts, at), text, size in zip(lines, cell, wide, strict=False):
+                gap = max(starts[first] - at[0], 2 if parts else 0)
+                parts += (" " * gap, text)
+                at[0] += gap + size
+        canvas.end_line()
+        for parts, _ in lines:
+            canvas.put("".join(parts).rstrip())
+
+
+def _ends(line: list[tuple]) -> Iterator[int]:
+    """For each line of text of a row the column of its last cell."""
+    reached = 0
+    for first, _, cell, _ in reversed(line):
+        yield from (first for _ in range(len(cell) - reached))
+        reached = max(reached, len(cell))
 
 
 def _draw(node, canvas: Canvas, pre: bool):
@@ -306,7 +420,7 @@ def _draw(node, canvas: Canvas, pre: bool):
             first, *rest = node.split("\n")
             canvas.line.append(first)
             for line in rest:
-                canvas._put("".join(canvas.line))
+                canvas.put("".join(canvas.line))
                 canvas.line = [line]
         else:
             canvas.text(node)
@@ -325,7 +439,7 @@ def _draw(node, canvas: Canvas, pre: bool):
         return
     if tag in LINES and (tag != "text" or node.foreign == "svg"):
         canvas.end_line()
-        label = node.attrs.get("label", "") if tag in ("option", "optgroup") else ""
+        label = node.attrs.get("label", "") if node.shows and tag in ("option", "optgroup") else ""
         if label:
             canvas.text(html.unescape(label))
             canvas.end_line()
@@ -343,16 +457,16 @@ def _draw(node, canvas: Canvas, pre: bool):
         number = int(start) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1
         for child in node.children:
             if isinstance(child, Node) and child.tag == "li" and child.seen():
-                canvas.put_all((yield _item(child, f"{number}. " if tag == "ol" else "- ")))
+                yield _indented(child, f"{number}. " if tag == "ol" else "- ", canvas)
                 number += 1
             else:
                 yield _draw(child, canvas, False)
     elif tag == "table":
         yield _table(node, canvas)
     elif tag in ("dd", "blockquote"):
-        canvas.put_all([f"  {x}" if x else x for x in (yield _inside(node))])
+        yield _indented(node, "  ", canvas)
     elif tag == "li":
-        canvas.put_all((yield _item(node, "- ")))
+        yield _indented(node, "- ", canvas)
     else:
         for child in node.children:
             yield _draw(child, canvas, pre or tag == "pre")
