@@ -104,7 +104,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What media_columns stores, digested in the task that wrote and read it, so that no file leaves it."""
+    """What media_columns stores, digested in the task that wrote and read it, so that no file leaves it; pairs is the
+    time-coded array itself, of which feature is the count and a digest."""
 
     def values(text):
         payload, n = payload_of(text)
@@ -112,6 +113,6 @@ def digests(docs: DataFrame) -> DataFrame:
         back = read_wav(media)
         pairs = fingerprint(back)
         feature = f"{len(pairs)}:{hashlib.sha256(pairs.astype('<i8').tobytes()).hexdigest()[:32]}"
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, pairs.tolist()
 
-    return _described(docs, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", values)
+    return _described(docs, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pairs array<long>", values)

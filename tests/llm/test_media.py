@@ -48,3 +48,29 @@ def test_peak_pairs_of_a_tone():
     part = media.fingerprint(tone[576 * 10 :].tobytes())
     shifted = {int(c) & 0x7FFFFF for c in codes}
     assert sum(int(c) & 0x7FFFFF in shifted for c in part) >= len(part) // 2  # pairs survive a cut
+
+
+def brute_pairs(samples):
+    """The codes by a transform written out: the loudest bin of each band and frame, peaks in time, the next three each."""
+    x = [(b - 128) for b in samples]
+    window = np.hanning(576).astype(np.float32)
+    frames = [np.array(x[at : at + 576], np.float32) * window for at in range(0, len(x) - 575, 288)]
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(1, 289), np.arange(576)) / 576)
+    energy = np.array([np.abs(waves @ f) ** 2 for f in frames]).reshape(len(frames), 4, 72)
+    peaks = []
+    for t in range(len(frames)):
+        for band in range(4):
+            here = energy[t, band].max()
+            if (t == 0 or here > energy[t - 1, band].max()) and (t + 1 == len(frames) or here >= energy[t + 1, band].max()):
+                peaks.append((t, band * 72 + int(energy[t, band].argmax())))
+    codes = [t << 23 | f << 14 | g << 5 | u - t for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 4] if u - t <= 31]
+    return sorted(codes)
+
+
+def test_the_array_equals_a_transform_written_out(spark):
+    texts = ["A few words of prose, and then some more of them. " * n for n in (1, 30, 90)] + ["x", "Grüße " * 500]
+    rows = {r["doc_id"]: r for r in media.digests(docs(spark, [(i, t) for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        codes = rows[i]["pairs"]
+        assert codes == brute_pairs(padded(text)[0])
+        assert rows[i]["feature"] == f"{len(codes)}:{hashlib.sha256(np.array(codes, '<i8').tobytes()).hexdigest()[:32]}"
