@@ -7,7 +7,8 @@ Blocks: within its source, documents stand in the order of a hash of their id; t
 often as the target needs, form a stream that is cut at the target and into blocks of BLOCK words. Slots: as many as
 there are blocks; slot t has the point of the golden-ratio sequence, t times the golden section modulo 1, which the
 cumulative block counts of the sources map to a source. The r-th slot of a source takes its r-th block; a block that
-got no slot, as the schedule is off by a few slots, follows after the last one. So any stretch of the mix holds each
+got no slot, as the schedule is off by a few slots (by one more for every MODULUS slots, after which the points come
+round again), follows after the last one. So any stretch of the mix holds each
 source nearly at its share, and each source's words come to its target exactly.
 
 Ranks and running sums are taken within chunks of a source (by the first CHUNK_DIGITS of a hash for documents, RUN slots
@@ -105,6 +106,14 @@ def pieces(rows: DataFrame) -> DataFrame:
     return taken.select("source_key", "block", "row", "start", words.alias("words"))
 
 
+def numbered_blocks(counts: DataFrame) -> DataFrame:
+    """(source_key, slots, block) for the numbers below each row's `blocks`, made run by run, so that no row holds an array
+    longer than a run or the number of runs."""
+    runs = counts.select("source_key", "slots", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {RUN}"))).alias("run"))
+    runs = runs.repartition("source_key", "run")
+    return runs.select("source_key", "slots", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("blocks")) - 1)).alias("block"))
+
+
 def schedule(goals: DataFrame) -> DataFrame:
     """(slot, source_key, block): where in the mix each block of each source stands."""
     counts = goals.select(_key(F.col("source")).alias("source_key"), F.ceil(F.floor("target") / BLOCK).cast("long").alias("blocks")).where("blocks > 0")
@@ -124,7 +133,7 @@ def schedule(goals: DataFrame) -> DataFrame:
     per_run = _before(drawn.groupBy("source_key", "run").agg(F.count("*").alias("n")), "source_key", "run", "n")
     ranked = drawn.withColumn("rank", F.row_number().over(in_run) - 1).join(per_run.select("source_key", "run", "before"), ["source_key", "run"])
     ranked = ranked.select("source_key", (F.col("before") + F.col("rank")).alias("block"), "slot")
-    blocks = counts.select("source_key", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    blocks = numbered_blocks(counts)
     return blocks.join(ranked.hint("merge"), ["source_key", "block"], "left").select(F.coalesce("slot", F.col("slots") + F.col("block")).alias("slot"), "source_key", "block")
 
 

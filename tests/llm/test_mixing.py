@@ -121,3 +121,14 @@ def test_mixed_rows_stand_in_the_order_of_the_schedule(spark):
     out = [r["source"] for r in mixing.mixed(docs(spark, rows).repartition(3)).collect()]
     total, half = Counter(out), Counter(out[: len(out) // 2])
     assert all(abs(half[s] - total[s] / 2) <= 6 * mixing.BLOCK / 16 for s in "ab")
+
+
+def test_blocks_of_a_huge_target_are_numbered_run_by_run(spark):
+    from pyspark.sql import functions as F
+
+    counts = spark.createDataFrame([("=a", 10**10, 9 * 10**9), ("=b", 10**10, 3), ("-", 10**10, mixing.RUN + 1)], "source_key string, slots long, blocks long")
+    small = mixing.numbered_blocks(counts.where("source_key <> '=a'")).groupBy("source_key").agg(F.count("*"), F.min("block"), F.max("block"), F.countDistinct("block"))
+    assert sorted(map(tuple, small.collect())) == [("-", mixing.RUN + 1, 0, mixing.RUN, mixing.RUN + 1), ("=b", 3, 0, 2, 3)]
+    # a target of 1e13 words: a few of its blocks are looked at, and no row holds more than a run of them
+    some = mixing.numbered_blocks(counts.where("source_key = '=a'")).limit(5).collect()
+    assert len(some) == 5 and all(0 <= r["block"] < 9 * 10**9 for r in some)
