@@ -46,7 +46,7 @@ def test_bounds_never_lose_a_neighbour(spread):
     x = np.floor(rng.standard_normal((700, 16)) * spread * 64).astype(np.int64)
     x[:, :4] *= 5  # a few dimensions matter most, so that bounds close early
     ids = np.arange(700)
-    for q, places, scores in topk.search_block(ids[:40], x[:40], ids, x, 10):
+    for q, places, scores in topk.search_block(ids[:40], x[:40], topk.Lists(ids, x), 10):
         s = x @ x[q]
         want = sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:10]
         assert list(places) == want and list(scores) == [s[i] for i in want]
@@ -62,3 +62,48 @@ def test_rows_that_share_an_id_are_all_candidates(spark):
         scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for j, x in whole if j == q for i, y in whole if i != q)
         want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:20], 1)]
     assert sorted(map(tuple, topk.top_k(frame(spark, rows)).collect())) == sorted(want)
+
+
+def _few_count(rng, n):
+    x = np.floor(rng.standard_normal((n, 16)) * 64).astype(np.int64)
+    x[:, :2] *= 40  # two dimensions matter most
+    return x
+
+
+def test_entries_that_decide_nothing_are_not_read():
+    rng = np.random.default_rng(11)
+    x = _few_count(rng, 2000)
+    plain = 2000 * 16 * 30
+    lists = topk.Lists(np.arange(2000), x)
+    first = {q: (list(p), list(s)) for q, p, s in topk.search_block(np.arange(30), x[:30], lists, 5)}
+    assert lists.entries < 0.8 * plain  # every entry once would be plain scoring
+    # a score that others reach closes lists sooner, and what is above it is still found
+    floors = np.array([first[q][1][2] for q in range(30)], float)
+    again = topk.Lists(np.arange(2000), x)
+    second = {q: (list(p), list(s)) for q, p, s in topk.search_block(np.arange(30), x[:30], again, 5, floors + 10**7)}
+    assert again.entries < lists.entries and all(not p for p, _ in second.values())
+    third = {q: (list(p), list(s)) for q, p, s in topk.search_block(np.arange(30), x[:30], topk.Lists(np.arange(2000), x), 5, floors)}
+    assert all(third[q][1][:3] == first[q][1][:3] for q in range(30))
+
+
+def test_factors_of_zero_need_no_list():
+    x = np.zeros((100, 8), np.int64)
+    x[:, 3] = np.arange(100)
+    lists = topk.Lists(np.arange(100), x)
+    found = list(topk.search_block(np.array([100, 99]), np.array([[0] * 3 + [-1] + [0] * 4, [0] * 8]), lists, 3))
+    assert [(q, list(p), list(s)) for q, p, s in found] == [(100, [0, 1, 2], [0, -1, -2]), (99, [0, 1, 2], [0, 0, 0])] or sorted((q, list(p)) for q, p, _ in found) == [(99, [0, 1, 2]), (100, [0, 1, 2])]
+    assert lists.entries <= 100
+
+
+def test_several_blocks_share_what_the_first_one_finds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 128)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(-9, 10, 12) / 8]) for i in range(1000)] + [(2000 + i, [1.0] * 12) for i in range(300)]
+    have = sorted(map(tuple, topk.top_k(frame(spark, rows).repartition(5), every=20, k=20).collect()))
+    assert have == brute(rows)
+
+
+def test_sums_beyond_the_exact_floats_are_scored_in_full(spark):
+    rows = [(i, [1e6 + i, -1e6 * i]) for i in range(50)]
+    assert sorted(map(tuple, topk.top_k(frame(spark, rows), every=20, k=3).collect())) == brute(rows, k=3)
