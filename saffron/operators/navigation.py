@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import neighbours
+
 
 def in_book(recipes: DataFrame, book: str = "book_id", order: str = "ord", id_: str = "id") -> DataFrame:
     """Adds previous_id and next_id: of the rows of the book with a strictly smaller (greater) order the nearest; rows
@@ -17,9 +19,8 @@ def in_book(recipes: DataFrame, book: str = "book_id", order: str = "ord", id_:
 
 
 def in_sequence(rows: DataFrame, partition: str, order: list[str], id_: str) -> DataFrame:
-    """Adds previous_id and next_id by position within each partition, such as a list."""
-    window = Window.partitionBy(partition).orderBy(*order)
-    return rows.withColumn("previous_id", F.lag(id_).over(window)).withColumn("next_id", F.lead(id_).over(window))
+    """Adds previous_id and next_id by position within each partition, such as a list, of any length."""
+    return neighbours(rows, partition, order, id_)
 
 
 def in_ranked(ids: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mutations import append_once, first_wins
+from .ranks import ranked
 
 
 def after_analysis(kind: Column) -> Column:
@@ -53,10 +54,7 @@ def any_image(recipes: Column) -> Column:
 
 def numbered(rows: DataFrame, report: str = "report_id") -> DataFrame:
     """Extracted rows numbered from 1 within their report by chapter and place; recipes of one title keep the first."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(report).orderBy("chapter", "place")
-    return rows.withColumn("book_order", F.row_number().over(window))
+    return ranked(rows, report, ["chapter", "place"], "book_order").withColumn("book_order", F.col("book_order").cast("int"))
 
 
 def without_repeats(rows: DataFrame, report: str = "report_id") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import vectors
 from ..plans import search as plan
 from ..plans import substring
 from ..plans.filters import Condition, Group, Search, parse
-from ..streaming.incremental import work_folder
+from ..streaming.folders import work_folder
 
 #: What the searches below read, as common table expressions.
 TABLES = r"""

@@ -18,6 +18,7 @@ from ..plans.search import By, get_page
 from ..sources import archive, catalogue, completion
 from ..streaming import incremental
 from ..streaming.buckets import BucketTable
+from ..streaming.folders import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -266,7 +267,7 @@ def keyword_plurals(spark, d):
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upserts(spark, d):
     """The events as a stream of changes to a bucketed table of each user's latest, which another driver could go on with."""
-    events, folder = table(spark, d, "events"), incremental.work_folder(spark, "upserts")
+    events, folder = table(spark, d, "events"), work_folder(spark, "upserts")
     arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     incremental.stream_into(arriving, f"{folder}/latest", ["user_id"], ["ts", "event_id"], f"{folder}/checkpoint")
     return BucketTable(spark, f"{folder}/latest", ["user_id"]).read().select("user_id", "event_type", "event_id")

@@ -18,7 +18,8 @@ from ..plans import search
 from ..sources import book_files, catalogue, completion
 from ..sources.sqlite import local
 from ..streaming import buckets, extraction
-from ..streaming.incremental import stream_into, work_folder
+from ..streaming.folders import work_folder
+from ..streaming.incremental import stream_into
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,8 @@ from ..model import star_schema, table
 from ..operators import analytics, keywords, mutations, navigation, vectors, workflow
 from ..sources import catalogue as library
 from ..streaming.buckets import BucketTable
-from ..streaming.incremental import stream_into, windowed_counts, work_folder
+from ..streaming.folders import work_folder
+from ..streaming.incremental import stream_into, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

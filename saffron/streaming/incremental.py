@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +9,6 @@ from ..operators.vectors import missing
 from .buckets import BucketTable
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, else the warehouse; under a local master
-    without the setting, a temporary one."""
-    local = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or local}/{name}_{uuid.uuid4().hex}"
-
-
 def stream_into(arriving: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str) -> None:
     """Upserts what has arrived into the bucketed table at path, batch by batch, and ends. The table's own version file
     knows the batches it holds, so a batch that comes again is passed over and another driver goes on where one stopped."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saffron.model import star_schema
-from saffron.operators import vectors
+from saffron.operators import ranks, vectors
 from saffron.plans import pages as pages_module
 from saffron.plans import search as plan
 from saffron.plans import substring
@@ -141,3 +141,21 @@ def test_slots_bound_the_calls_at_once_and_come_back(spark):
         assert len(completion.completed(prompts, lambda p, m: ("ok", (0.0, 1, 1)), at_once=4, grants=grants.client).where("response = 'ok'").collect()) == 24
     finally:
         grants.stop()
+
+
+def test_places_in_a_group_of_any_size(spark):
+    rng = random.Random(9)
+    rows = [(i, None if i % 10 == 0 else "hot" if i % 3 else f"g{i % 40}", rng.randrange(50), f"x{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, grp string, at int, _other string").repartition(6)
+    want, beside = {}, {}
+    for g in {r[1] for r in rows}:
+        mine = [r[0] for r in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))]
+        for i, id_ in enumerate(mine):
+            want[id_] = i + 1
+            beside[id_] = (mine[i - 1] if i else None, mine[i + 1] if i + 1 < len(mine) else None)
+    out = ranks.ranked(df, "grp", ["at", "id"], "place")
+    assert out.columns == [*df.columns, "place"] and {r["id"]: r["place"] for r in out.collect()} == want
+    assert {r["id"]: (r["previous_id"], r["next_id"]) for r in ranks.neighbours(df, "grp", ["at", "id"], "id").collect()} == beside
+    assert ranks.neighbours(df.limit(0), "grp", ["at"], "id").count() == 0
+    spread = spark.createDataFrame([(i,) for i in range(4000)], "id int").select(F.lit(1).alias("grp"), "id").repartitionByRange(4, "grp", "id")
+    assert spread.groupBy(F.spark_partition_id()).count().count() == 4  # one group lies in several partitions
