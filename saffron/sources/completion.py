@@ -48,9 +48,9 @@ def retried(call: Callable, *args, attempts: int = ATTEMPTS, first_wait: float =
             sleep(first_wait * 2**i)
 
 
-def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256, at_once: int = 16, first_wait: float = FIRST_WAIT_S, grants: Client | None = None) -> DataFrame:
-    """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). at_once tasks call the
-    provider, and the driver grants their calls, second tries included, so that rate and calls at once hold for all of them
+def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256, tasks: int = 16, first_wait: float = FIRST_WAIT_S, at_once: int = 16, grants: Client | None = None) -> DataFrame:
+    """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). `tasks` tasks call the
+    provider, at most at_once of them at a time, and the driver grants their calls, second tries included, so that rate and calls at once hold for all of them
     together (and for other jobs with the same rate and slots, or the same grants). A prompt whose attempts all fail has its
     error, and the others go on."""
     names = ["key", "response", "cost_usd", "input_tokens", "output_tokens", "error"]
@@ -75,7 +75,7 @@ def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 2
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return prompts.select(F.col("key").cast("string").alias("key"), "prompt", "model").repartition(at_once).mapInArrow(run, "key string, response string, cost_usd double, input_tokens int, output_tokens int, error string")
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt", "model").repartition(tasks).mapInArrow(run, "key string, response string, cost_usd double, input_tokens int, output_tokens int, error string")
 
 
 def answered(response: Column, kind: str | T.DataType = ANSWER, required: Sequence[str] = REQUIRED) -> Column:

@@ -112,7 +112,7 @@ def test_the_rate_holds_for_all_tasks_together(spark, tasks):
     grants = Grants(spark, 60 * 30, at_once=16, burst=3)
     try:
         stamped = lambda prompt, model: (str(time.time()), (0.0, 1, 1))
-        times = sorted(float(r["response"]) for r in completion.completed(prompts, stamped, at_once=tasks, grants=grants.client).collect())
+        times = sorted(float(r["response"]) for r in completion.completed(prompts, stamped, tasks=tasks, grants=grants.client).collect())
         assert len(times) == 90 and abs((len(times) - 3) / (times[-1] - times[0]) / 30 - 1) < 0.05  # two more than the rate go out at once
     finally:
         grants.stop()
@@ -130,7 +130,7 @@ def test_slots_bound_the_calls_at_once_and_come_back(spark):
         return f"{began} {time.time()}", (0.0, 1, 1)
 
     try:
-        answers = [r["response"] for r in completion.completed(prompts, slow, at_once=4, first_wait=0.0, grants=grants.client).collect()]
+        answers = [r["response"] for r in completion.completed(prompts, slow, tasks=4, first_wait=0.0, grants=grants.client).collect()]
         spans = [tuple(map(float, a.split())) for a in answers if a]
         assert max(sum(b <= x < e for b, e in spans) for x, _ in spans) <= 2
         with grants.client.connected() as call:  # breaks off while it holds a slot
@@ -138,7 +138,7 @@ def test_slots_bound_the_calls_at_once_and_come_back(spark):
                 raise KeyError
         with pytest.raises(OSError), grants.client.__class__(grants.client.host, grants.client.port, "wrong").connected() as call, call():
             pass
-        assert len(completion.completed(prompts, lambda p, m: ("ok", (0.0, 1, 1)), at_once=4, grants=grants.client).where("response = 'ok'").collect()) == 24
+        assert len(completion.completed(prompts, lambda p, m: ("ok", (0.0, 1, 1)), tasks=4, grants=grants.client).where("response = 'ok'").collect()) == 24
     finally:
         grants.stop()
 
