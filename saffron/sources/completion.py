@@ -50,9 +50,9 @@ def retried(call: Callable, *args, attempts: int = ATTEMPTS, first_wait: float =
 
 def completed(prompts: DataFrame, complete: Complete, rate_per_minute: float = 256, tasks: int = 16, first_wait: float = FIRST_WAIT_S, at_once: int = 16, grants: Client | None = None) -> DataFrame:
     """prompts (key, prompt, model) with (response, cost_usd, input_tokens, output_tokens, error). `tasks` tasks call the
-    provider, at most at_once of them at a time, and the driver grants their calls, second tries included, so that rate and calls at once hold for all of them
-    together (and for other jobs with the same rate and slots, or the same grants). A prompt whose attempts all fail has its
-    error, and the others go on."""
+    provider, at most at_once of them at a time. The driver grants their calls, second tries included, so that rate and
+    slots hold for all of them together, and for other jobs with the same rate and slots, or the same grants. A prompt whose
+    attempts all fail has its error, and the others go on."""
     names = ["key", "response", "cost_usd", "input_tokens", "output_tokens", "error"]
     types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
     client = grants or shared(prompts.sparkSession, rate_per_minute, at_once)
