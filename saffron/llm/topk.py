@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from ._spark import cut
 
 #: Rows of a block of candidates, and of a block of queries. A candidate travels once for each block of queries and a query
-#: once for each block of candidates; SLICE queries of a block are looked at together: their sums
-#: stay in a core's cache.
-CANDIDATES, QUERIES, SLICE = 4096, 4096, 32
+#: once for each block of candidates; SLICE queries of a block are looked at together, which bounds
+#: a task's memory.
+CANDIDATES, QUERIES, SLICE = 4096, 4096, 128
 #: Shares of the lists that have been read when the bounds are compared.
 DEPTHS = (0.2, 0.35, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
@@ -80,35 +80,41 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+def _ways(queries: np.ndarray) -> np.ndarray:
+    """The factors of the lists' upper ends, then those of their lower ends."""
+    return np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+
+
 class Lists:
-    """A block's candidates as one sorted list for each dimension."""
+    """A block's candidates as one sorted list for each dimension, which can be read from either end."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)  # rows of each list, ascending
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1).astype(np.float64)
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.arange(len(ids))[None, :], axis=1)
-        self.entries, self.unread = 0, (-1, None, None)
-
-    def read(self, sums: np.ndarray, queries: np.ndarray, begin: int, end: int) -> None:
-        """Adds the entries from depth begin to end of every list to the sums (candidate, query)."""
-        n = len(self.ids)
-        for factors, part in ((np.maximum(queries, 0).T, slice(n - end, n - begin)), (np.minimum(queries, 0).T, slice(begin, end))):
-            for d in np.flatnonzero(factors.any(axis=1)):
-                sums[self.order[d, part]] += self.sorted[d, part, None] * factors[d]
-            self.entries += np.count_nonzero(factors) * (end - begin)
-
-    def bounds(self, sums: np.ndarray, queries: np.ndarray, depth: int, lower: bool) -> np.ndarray:
+        self.ids, self.values, self.entries, self.steps = ids, values, 0, {}
+        order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=0).astype(np.float64)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(len(ids))[:, None], axis=0)
+        # at which depth an entry is met from the upper and from the lower end
+        self.depth = np.concatenate([len(ids) - 1 - rank, rank], axis=1)
+        self.both = np.concatenate([values, values], axis=1).astype(np.float64)
+
+    def read(self, sums: np.ndarray, ways: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """The sums (candidate, query) with the entries from depth begin to end of every list. A step's entries stand in one
+        matrix, in which all others are 0, so one product adds them for all queries."""
+        if (begin, end) not in self.steps:
+            self.steps[begin, end] = np.where((self.depth >= begin) & (self.depth < end), self.both, 0.0)
+        self.entries += np.count_nonzero(ways) * (end - begin)
+        return sums + self.steps[begin, end] @ ways.T
+
+    def bounds(self, sums: np.ndarray, ways: np.ndarray, depth: int, lower: bool) -> np.ndarray:
         """The lower or the upper bounds (candidate, query) when every list has been read to a depth."""
-        n, up, down = len(self.ids), np.maximum(queries, 0), np.minimum(queries, 0)
+        n = len(self.ids)
         if depth >= n:
             return sums
-        if self.unread[0] != depth:  # which entries can't have been read from either end
-            self.unread = depth, (self.rank < n - depth).T.astype(np.float64), (self.rank >= depth).T.astype(np.float64)
-        _, above, below = self.unread
-        high, low = (self.sorted[:, 0], self.sorted[:, -1]) if lower else (self.sorted[:, n - 1 - depth], self.sorted[:, depth])
-        return sums + above @ (up * high).T + below @ (down * low).T
+        if depth not in self.steps:
+            self.steps[depth] = (self.depth >= depth).astype(np.float64)
+        ends = (0, n - 1) if lower else (n - 1 - depth, depth)
+        return sums + self.steps[depth] @ (ways * np.concatenate([self.sorted[ends[0]], self.sorted[ends[1]]])).T
 
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, lists: Lists, k: int, floors: np.ndarray | None = None):
@@ -129,15 +135,15 @@ def _search_slice(query_ids, queries, lists: Lists, k: int, floors):
             best = _best(row[others], ids[others], k)
             yield query_ids[i], others[best], row[others][best]
         return
-    factors, open_, sums, depth = queries.astype(np.float64), np.arange(len(query_ids)), np.zeros((n, len(query_ids))), 0
+    ways, open_, sums, depth = _ways(queries.astype(np.float64)), np.arange(len(query_ids)), np.zeros((n, len(query_ids))), 0
     for share in DEPTHS:
         begin, depth = depth, max(1, round(share * n))
-        lists.read(sums, factors[open_], begin, depth)
+        sums = lists.read(sums, ways[open_], begin, depth)
         able, least = ~own[:, open_], floors[open_]
         if n > k and not np.isfinite(least).all():
-            lower = np.where(able, lists.bounds(sums, factors[open_], depth, True), -np.inf)
+            lower = np.where(able, lists.bounds(sums, ways[open_], depth, True), -np.inf)
             least = np.maximum(least, np.partition(np.ascontiguousarray(lower.T), n - k, axis=1)[:, n - k])
-        able &= lists.bounds(sums, factors[open_], depth, False) >= least[None, :]
+        able &= lists.bounds(sums, ways[open_], depth, False) >= least[None, :]
         done = able.sum(axis=0) <= (4 * k if depth < n else n)
         for i in np.flatnonzero(done):
             places = np.flatnonzero(able[:, i])
