@@ -72,6 +72,63 @@ def test_a_folder_of_databases_and_one_that_spark_sends(spark, library, tmp_path
     assert spark.read.format("sqlite").options(shipped="a.db", dbtable="pairs").load().count() == 7
 
 
+def database(path, ids, name="t", indexed=False):
+    db = sqlite3.connect(path)
+    db.execute(f"CREATE TABLE {name} (id INTEGER PRIMARY KEY, kind TEXT, note TEXT)")
+    db.executemany(f"INSERT INTO {name} VALUES (?, ?, ?)", [(i, "even" if i % 2 == 0 else "odd", "rare" if i == ids[-1] else None) for i in ids])
+    if indexed:
+        db.execute(f"CREATE INDEX kinds ON {name} (note)")
+    db.commit()
+    db.close()
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [
+        range(1, 5001),
+        range(-3000, 150_000, 30),
+        [(i * 0x9E3779B97F4A7C15 & (1 << 63) - 1) for i in range(1, 5001)],  # random ids
+        [*range(2000), 10**6, *range(10**12, 10**12 + 3000)],  # clusters
+        [7],
+        [-(1 << 63), (1 << 63) - 1],
+    ],
+)
+def test_ranges_follow_the_rows(tmp_path, ids):
+    """Every row is in one range, no range holds many more rows than asked, and none of the tasks is nearly empty."""
+    path = database(tmp_path / "x.db", sorted(ids))
+    with sqlite.opened(path) as db:
+        found = sqlite.ranges(db, path, "t", *sqlite.ends(db, "t"), 200)
+        held = [db.execute("SELECT count(*) FROM t WHERE rowid BETWEEN ? AND ?", (r.first, r.last)).fetchone()[0] for r in found]
+    assert sum(held) == len(ids) and all(a.last < b.first for a, b in zip(found, found[1:], strict=False))
+    made = sqlite.tasks(found, 200)
+    assert max(held) <= 400 and len(made) <= 2 * len(ids) / 200 + 2
+    assert [r for t in made for r in t.ranges] == found
+
+
+def test_planning_seeks_and_does_not_scan(tmp_path):
+    path = database(tmp_path / "x.db", range(1, 300_001), indexed=True)
+    steps = []
+    with sqlite.opened(path) as db:
+        db.set_progress_handler(lambda: steps.append(1) and None, 100)
+        assert len(sqlite.ranges(db, path, "t", *sqlite.ends(db, "t"), 10_000)) == 30
+        assert sqlite.ends(db, "t", " WHERE note = 'rare'") == (300_000, 300_000)
+        assert sqlite.sought(db, "t") == {"id", "note"}
+    assert len(steps) < 200  # hundreds of instructions; a scan takes more than 3,000
+
+
+def test_small_databases_share_tasks_and_others_stay_unread(spark, library, tmp_path):
+    for i in range(20):
+        database(tmp_path / f"lib{i}.db", range(1, 51))
+    rows = of(spark, str(tmp_path), "t", rows=500)
+    assert rows.rdd.getNumPartitions() == 2 and rows.count() == 1000
+    assert {r[0] for r in rows.where("kind = 'odd'").groupBy("library").count().select("count").collect()} == {25}
+    assert rows.where("note = 'rare'").count() == 20
+    (tmp_path / "lib3.db").write_text("broken")  # is not opened
+    for test, n in (("library = 'lib7'", 50), ("library IN ('lib7', 'lib12', 'no')", 100), ("library = 'lib7' AND library = 'lib8'", 0), ("library = 'lib7' AND id > 45", 5)):
+        assert rows.where(test).count() == n, test
+
+
 def test_files_are_what_json_writes(spark, tmp_path):
     rows = [(b, i, f"Crème \"{i}\"\n/ 日本", [str(i)] * (i % 3), date(2024, 1, 1 + i % 9) if i % 2 else None) for b, n in (("big", 400), ("a/b c", 2), ("x", 1)) for i in range(n)]
     df = spark.createDataFrame(rows, "book_id string, id int, name string, steps array<string>, day date").repartition(7)
