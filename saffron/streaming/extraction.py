@@ -28,6 +28,8 @@ WAITS = {"analyse": "analysed", "extract_file": "extracted", "extract_block": "e
 STATE = "stage string, status string, tried array<string>, response string, steps int, turn int, seen bigint, kept array<struct<seq:bigint,kind:string,flag:boolean,value:string>>"
 OUT = "book_id string, steps int, turn int, stage string, status string, tried array<string>, response string, at timestamp"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A batch then writes what it changed to the checkpoint, not the state as a whole.
+CHANGES_ONLY = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def after(stage: str, flag: bool | None, value: str | None, tried: list[str], response: str | None) -> str:
@@ -93,6 +95,7 @@ def transitions(steps: DataFrame, decisions: DataFrame, patience: timedelta = ti
     """The states that books come to: OUT, a row for each book and batch in which something moved, numbered by turn. steps and decisions are
     streams of events."""
     steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    steps.sparkSession.conf.set(CHANGES_ONLY, "true")
     shape = [F.col("book_id").cast("string").alias("book_id"), F.col("seq").cast("long").alias("seq"), F.col("at").cast("timestamp").alias("at"), "kind", F.col("flag").cast("boolean").alias("flag"), F.col("value").cast("string").alias("value")]
     events = steps.select(*shape).union(decisions.select(*shape))
     return events.groupBy("book_id").transformWithState(statefulProcessor=Machine(patience), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
