@@ -88,7 +88,8 @@ def mime_type(path: Column) -> Column:
 
 
 def data_uri(path: Column, data: Column) -> Column:
-    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.base64(data))
+    """On one line, while base64() may break its text every 76 characters."""
+    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.translate(F.base64(data), "\r\n", ""))
 
 
 def with_header(name: Column, text: Column) -> Column:

@@ -89,7 +89,7 @@ def paths_and_types(spark, d):
 def prompts(spark, d):
     pages = table(spark, d, "pages")
     url = F.col("url")
-    return pages.select("page_id", t.data_uri(F.lit("x.png"), F.encode(url, "UTF-8")).alias("uri"), t.with_header(F.col("page_id").cast("string"), url).alias("headed"), t.prompt("Read {what} now", what=url).alias("prompt"), t.tokens_estimate(url).alias("tokens"))
+    return pages.select("page_id", t.data_uri(F.lit("x.png"), F.encode(url, "UTF-8")).alias("uri"), t.with_header(F.col("page_id").cast("string"), url).alias("headed"), F.when(url.isNotNull(), t.prompt("Read {what} now", what=url)).alias("prompt"), t.tokens_estimate(url).alias("tokens"))
 
 
 @query("SELECT p_partkey AS id, 'brand=' || replace(p_brand, '#', '%23') || '&q=' || replace(p_name, ' ', '+') AS q FROM part")
