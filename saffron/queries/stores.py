@@ -184,7 +184,7 @@ def run_workflow(spark, steps: str, decisions: str, folder: str) -> DataFrame:
 @query(_RULES)
 def workflow_states(spark, d):
     """The workflow as a stream in two runs: the first sees each book's events up to its extraction, the second, which
-    knows nothing but the checkpoint, the answers and all that follows them."""
+    knows nothing but the checkpoint and the table, the answers and all that follows them."""
     folder = work_folder(spark, "workflow")
     rows, decisions = _events(spark, d)
     rows.where("seq <= 2").write.parquet(f"{folder}/steps")

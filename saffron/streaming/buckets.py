@@ -13,8 +13,12 @@ are not foreseen. The number of buckets is fixed when the table is made, as are
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from functools import cached_property
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property, reduce
+from operator import and_
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +39,18 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return found.select(*[c if c in key else F.col("_row")[c].alias(c) for c in rows.columns])
 
 
+@dataclass(frozen=True)
+class Fold:
+    """What a stream's events make of a table's rows. moved(now) is a function over Arrow batches of (key, _old, _came): a
+    key's row or null and the list of its events in no order or null; it gives one row of the schema for each. due(now)
+    tells which of the table's rows move without events too. now: a batch's time in milliseconds."""
+
+    events: DataFrame
+    schema: str
+    moved: Callable[[int], Callable]
+    due: Callable[[int], Column]
+
+
 class BucketTable:
     def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = BUCKETS):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -102,17 +118,43 @@ class BucketTable:
                 created, updated, deleted = both.agg(
                     F.count_if(F.col("_old").isNull() & F.col("_kept").isNotNull()), F.count_if(F.col("_old").isNotNull() & F.col("_new").isNotNull() & ~F.col("_gone")), F.count_if(F.col("_old").isNotNull() & F.col("_kept").isNull())
                 ).first()
-                number = (self._versions() or [0])[-1] + 1
-                kept = both.where(F.col("_kept").isNotNull()).select("_kept.*", "bucket")
-                # an upsert that a driver left unfinished has the same number: its folder is written over
-                kept.repartition(max(1, min(len(touched), self.buckets)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{number}")
+                version = self._write(both.where(F.col("_kept").isNotNull()).select("_kept.*", "bucket"), state, touched)
             finally:
                 both.unpersist()
         finally:
             new.unpersist()
+        return self._commit(version | {"batch": batch if batch is not None else state and state["batch"], "schema": schema.jsonValue(), "created": created, "updated": updated, "deleted": deleted})
+
+    def fold(self, events: DataFrame, by: Fold, batch: int | None = None) -> dict:
+        """Puts what a batch of events makes of the rows in their place; like upsert(), which buckets it touches and which
+        batches it passes over. Rows of these buckets without events, and not due, stay outside Python. Nothing is kept in
+        memory and nothing counted."""
+        state, now = self.current(), int(time.time() * 1000)
+        if state and batch is not None and state["batch"] is not None and batch <= state["batch"]:
+            return state
+        schema, due = T._parse_datatype_string(by.schema), by.due(now)
+        touched = {r[0] for r in events.select(self.bucket).distinct().collect()}
+        if state:
+            touched |= {r[0] for r in self._read(state).where(due).select(self.bucket).distinct().collect()}
+        old = self._read(state, touched) if state else self.spark.createDataFrame([], schema)
+        old = old.select(F.struct(*schema.names).alias("_old"), F.coalesce(due, F.lit(False)).alias("_due"))
+        came = events.groupBy(*self.key).agg(F.collect_list(F.struct(*[c for c in events.columns if c not in self.key])).alias("_came"))
+        both = came.join(old, reduce(and_, (came[k].eqNullSafe(F.col("_old")[k]) for k in self.key)), "full")
+        moves = F.col("_came").isNotNull() | F.col("_due")
+        rows = both.where(moves).select(*[F.coalesce(came[k], F.col("_old")[k]).alias(k) for k in self.key], "_old", "_came").mapInArrow(by.moved(now), schema)
+        if state:
+            rows = rows.unionByName(both.where(~moves).select("_old.*"))
+        version = self._write(rows.withColumn("bucket", self.bucket), state, touched)
+        return self._commit(version | {"batch": batch if batch is not None else state and state["batch"], "schema": schema.jsonValue()})
+
+    def _write(self, rows: DataFrame, state: dict | None, touched: set[int]) -> dict:
+        """Writes all rows of the buckets touched; gives the new version's file but for what was counted."""
+        number = (self._versions() or [0])[-1] + 1
+        # a change that a driver left unfinished has the same number: its folder is written over
+        rows.repartition(max(1, min(len(touched), self.buckets)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{number}")
         filled = {f.base_name.partition("=")[2] for f in self.files.get_file_info(fs.FileSelector(f"{self.root}/data/{number}")) if f.base_name.startswith("bucket=")}
         written = {b: v for b, v in (state["written"] if state else {}).items() if int(b) not in touched} | {b: number for b in filled}
-        return self._commit({"version": number, "batch": batch if batch is not None else state and state["batch"], "key": self.key, "buckets": self.buckets, "schema": schema.jsonValue(), "written": written, "touched": len(touched), "created": created, "updated": updated, "deleted": deleted})
+        return {"version": number, "key": self.key, "buckets": self.buckets, "written": written, "touched": len(touched)}
 
     def _commit(self, state: dict) -> dict:
         self.files.create_dir(f"{self.root}/versions")

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import missing
-from .buckets import BucketTable
+from .buckets import BucketTable, Fold
 
 
-def stream_into(arriving: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str) -> None:
-    """Upserts what has arrived into the bucketed table at path, batch by batch, and ends. The table's own version file
-    knows the batches it holds, so a batch that comes again is passed over and another driver goes on where one stopped."""
+def stream_into(arriving: DataFrame | Fold, path: str, key: list[str], order: list[str], checkpoint: str) -> None:
+    """Upserts what has arrived into the bucketed table at path, or folds it into the table's rows, batch by batch, and ends.
+    The table's own version file knows the batches it holds, so a batch that comes again is passed over and another driver
+    goes on where one stopped. order: which row of a key counts; a fold has its own."""
+    events = arriving.events if isinstance(arriving, Fold) else arriving
 
     def merge(batch: DataFrame, number: int) -> None:
-        BucketTable(batch.sparkSession, path, key).upsert(batch, order=order, batch=number)
+        kept = BucketTable(batch.sparkSession, path, key)
+        kept.fold(batch, arriving, batch=number) if isinstance(arriving, Fold) else kept.upsert(batch, order=order, batch=number)
 
     # timers on the clock would ask for a batch without data after each batch, and the run would never end
-    setting, spark = "spark.sql.streaming.noDataMicroBatches.enabled", arriving.sparkSession
+    setting, spark = "spark.sql.streaming.noDataMicroBatches.enabled", events.sparkSession
     before = spark.conf.get(setting)
     spark.conf.set(setting, "false")
     try:
-        stream = arriving.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream = events.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.set(setting, before)
     stream.awaitTermination()
