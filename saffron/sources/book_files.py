@@ -4,16 +4,18 @@ A file is an array of the book's rows in their order (or, for `one` row a book,
 with characters beyond ASCII as they are and with text for what JSON has no type for.
 
 Rows are sorted into partitions by book and order, so a large book spreads over several tasks; each task streams its rows
-into part files of a staging folder and no book is ever one cell. Commit is in two steps. First the write's own: either
-all tasks have staged their parts and a list of the staging folders is written, or abort() removes what there is. Then
-publish() moves the parts to their places in tasks of their own; the parts of a book that several tasks have written are
-joined, bytes after bytes, by the task of the first. What the driver holds is one line a task.
+into one file of a staging folder, its books' parts one after the other, with a list of their lengths beside it, and no book
+is ever one cell. Commit is in two steps. First the write's own: either all tasks have staged their parts and a list of the
+staging folders is written, or abort() removes what there is. Then publish() cuts the parts out and puts them in their
+places in tasks of their own; the parts of a book that several tasks have written are joined, bytes after bytes, by the task
+of the first. What the driver holds is one line a task, and what it removes at the end are two files a task.
 
 Paths may be of any file system that Arrow knows by its scheme (file, hdfs, s3 and others).
 """
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 #: A book's folder below its own, and its files.
 FOLDER, RECIPES, REPORT = "_output", "recipes.json", "report.json"
 STAGED = "_staged"
+PARTS, LENGTHS = "parts", "lengths"
 COPY = 1 << 20
 
 
@@ -69,27 +72,34 @@ class Writer(ds.DataSourceArrowWriter):
         task = TaskContext.get()
         files, root = store(self.root)
         folder = f"{root}/{STAGED}/{self.job}/{task.partitionId()}-{task.attemptNumber()}"
-        first, book, out, empty = None, None, None, True
+        first, book, out, lengths, size = None, None, None, None, 0
+
+        def ended() -> None:
+            if book is not None:
+                lengths.write(json.dumps([book, size]).encode() + b"\n")
+
         try:
             for batch in batches:
                 books, places = batch.column("_book").to_pylist(), batch.column("_place")
                 rows = batch.select(self.fields).to_pylist()
                 for name, placed, row in zip(books, places, rows, strict=True):
-                    if out is None or name != book:
-                        if out is not None:
-                            out.close()
+                    if out is None:
                         files.create_dir(folder)
-                        first, book, empty = name if first is None else first, name, True
-                        out = files.open_output_stream(f"{folder}/{name}", buffer_size=COPY)
+                        out, lengths = (files.open_output_stream(f"{folder}/{x}", buffer_size=COPY) for x in (PARTS, LENGTHS))
+                    if name != book:
+                        ended()
+                        first, book, size = name if first is None else first, name, 0
                     if not placed.is_valid:
                         continue
                     # a part holds elements; the brackets and the commas between parts come when it is published
-                    text = json.dumps(row, indent=2, ensure_ascii=False, default=str) if self.one else item(row)
-                    out.write(("" if empty else ",\n").encode() + text.encode())
-                    empty = False
+                    text = (("" if size == 0 else ",\n") + (json.dumps(row, indent=2, ensure_ascii=False, default=str) if self.one else item(row))).encode()
+                    out.write(text)
+                    size += len(text)
+            ended()
         finally:
-            if out is not None:
-                out.close()
+            for opened in (out, lengths):
+                if opened is not None:
+                    opened.close()
         return Staged(folder, task.partitionId(), first, book)
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -113,37 +123,70 @@ class BookFiles(ds.DataSource):
         return Writer(self.options, schema)
 
 
+def _lengths(files: fs.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
+    """(book, bytes) of the parts that a task has staged, in their order."""
+    with files.open_input_stream(f"{folder}/{LENGTHS}", buffer_size=COPY) as held:
+        for line in io.TextIOWrapper(held, "utf-8"):
+            yield tuple(json.loads(line))
+
+
+def _pieces(held, length: int) -> Iterator[bytes]:
+    while length:
+        piece = held.read(min(length, COPY))
+        if not piece:
+            raise EOFError("a staged part is cut short")
+        length -= len(piece)
+        yield piece
+
+
+def _begun(files: fs.FileSystem, folder: str) -> Iterator[bytes]:
+    """The first part that a task has staged."""
+    with files.open_input_stream(f"{folder}/{PARTS}", buffer_size=COPY) as held:
+        yield from _pieces(held, next(_lengths(files, folder))[1])
+
+
 def _publish(root: str, name: str, one: bool):
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = store(root)
+        files, base = store(root)
         for batch in batches:
             n = 0
             for row in batch.to_pylist():
-                parts = files.get_file_info(fs.FileSelector(row["folder"], allow_not_found=True))
-                for part in (p for p in parts if p.base_name != row["not_mine"]):
-                    more = row["more"] if part.base_name == row["last"] else []
-                    _put(files, [part.path, *[f"{folder}/{part.base_name}" for folder in more]], target(store(root)[1], part.base_name, name), one)
-                    n += 1
+                with files.open_input_stream(f"{row['folder']}/{PARTS}", buffer_size=COPY) as held:
+                    for book, length in _lengths(files, row["folder"]):
+                        own = _pieces(held, length)
+                        if book == row["not_mine"]:
+                            for _ in own:
+                                pass
+                            continue
+                        more = row["more"] if book == row["last"] else []
+                        _put(files, [own, *[_begun(files, folder) for folder in more]], target(base, book, name), one, length if not more else COPY)
+                        n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
 
     return publish
 
 
-def _put(files: fs.FileSystem, parts: list[str], path: str, one: bool) -> None:
-    """Joins the parts of a file beside its place and then moves it there, so that it is never seen half written."""
-    files.create_dir(path.rpartition("/")[0])
-    beside, between = f"{path}.{uuid.uuid4().hex}", b"[\n"
-    with files.open_output_stream(beside, buffer_size=COPY) as out:
+def _put(files: fs.FileSystem, parts: list[Iterator[bytes]], path: str, one: bool, size: int) -> None:
+    """Joins the parts of a file beside its place and then moves it there, so that it is never seen half written. A small
+    file, by its size, is one write."""
+
+    def pieces() -> Iterator[bytes]:
+        between = b"[\n"
         for part in parts:
-            with files.open_input_stream(part) as held:
-                piece = held.read(COPY)
-                if piece and not one:
-                    out.write(between)
+            begun = False
+            for piece in part:
+                if not begun and not one:
+                    yield between
                     between = b",\n"
-                while piece:
-                    out.write(piece)
-                    piece = held.read(COPY)
-        out.write(b"" if one else b"\n]" if between == b",\n" else b"[]")
+                begun = True
+                yield piece
+        yield b"" if one else b"\n]" if between == b",\n" else b"[]"
+
+    files.create_dir(path.rpartition("/")[0])
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(beside, buffer_size=COPY if size >= COPY else None) as out:
+        for piece in pieces() if size >= COPY else [b"".join(pieces())]:
+            out.write(piece)
     files.move(beside, path)
 
 
@@ -208,5 +251,7 @@ def read_back(books: DataFrame, root: str, name: str = RECIPES) -> DataFrame:
                     texts.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("book_id"), pa.array(texts, pa.string())], ["book_id", "json"])
 
-    book = F.col("book_id").cast("string")
-    return books.select(book.alias("book_id"), F.url_encode(book).alias("_book")).mapInArrow(read, "book_id string, json string")
+    book, spark = F.col("book_id").cast("string"), books.sparkSession
+    # ids are small and come in few partitions, their files take long
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return books.select(book.alias("book_id"), F.url_encode(book).alias("_book")).repartition(parts, "_book").mapInArrow(read, "book_id string, json string")
