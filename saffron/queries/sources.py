@@ -49,11 +49,14 @@ def _archives(spark, d):
     two packages of which the first counts; of ids that 3 divides the second chapter is no text, of those that 5
     divides it is absent, and those that 7 divides are no archives at all."""
 
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
     def run(batches):
         for batch in batches:
-            ids, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for i, html in zip(ids, pages, strict=True):
+            out, size = [], 0
+            for page, text in zip(batch.column(0), batch.column(1), strict=True):
+                i, html = page.as_py(), text.as_py()
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w") as z:
                     if i % 2 == 0:
@@ -66,8 +69,13 @@ def _archives(spark, d):
                     if i % 5:
                         z.writestr("OEBPS/ch2.xhtml", b"\xff\xfe" if i % 3 == 0 else f"<p>{i}</p>")
                     z.writestr("OEBPS/images/x.jpg", f"jpg {i}")
-                out.append(held.getvalue() if i % 7 else b"no archive")
-            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array(out, pa.binary())], ["path", "content"])
+                out.append((str(i), held.getvalue() if i % 7 else b"no archive"))
+                size += len(out[-1][1])
+                if size >= archive.BATCH_BYTES:
+                    yield packed(out)
+                    out, size = [], 0
+            if out:
+                yield packed(out)
 
     return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "path string, content binary")
 

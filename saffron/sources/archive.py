@@ -19,14 +19,19 @@ CHAPTER_TYPES = ("application/xhtml+xml", "application/x-dtbook+xml")
 IMAGE = r"(?i)\.(jpg|jpeg|png|gif|webp)$"
 #: Fewer chapter-like files than this, and all of the reading order counts.
 LEAST_CHAPTERS = 5
-#: Bytes of members that a task sends on at once.
+#: Bytes of archives that a task takes in, and of members that it sends on, at once.
 BATCH_BYTES = 16 << 20
 
 
 def opened(files: DataFrame, wanted: str = "") -> DataFrame:
     """(book, ord, path, data) of the members of archives (path, content) whose names match `wanted`; a member that
     cannot be read has null data, an archive that cannot be opened has none. Rows leave a task in batches of about
-    BATCH_BYTES, so an archive of many images is never held twice."""
+    BATCH_BYTES, so an archive of many images is never held twice; archives come in by as much (or one that is larger), for
+    which the session's Arrow batches are bounded."""
+    by_bytes, conf = "spark.sql.execution.arrow.maxBytesPerBatch", files.sparkSession.conf
+    bound = conf.get(by_bytes, None)
+    if bound is None or not bound.isdigit() or not 0 < int(bound) <= BATCH_BYTES:
+        conf.set(by_bytes, str(BATCH_BYTES))
     names, fits = ["book", "ord", "path", "data"], re.compile(wanted)
 
     def packed(rows):
