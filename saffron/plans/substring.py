@@ -28,6 +28,8 @@ from .filters import POSITIVE, RELATIONS, Condition, Search
 
 #: Rows of a block, parts of the postings, trigrams of a pattern that are looked at and that are met.
 ROWS, PARTS, LOOKED_AT, RAREST = 1 << 14, 64, 64, 3
+#: Blocks whose postings of a part stand together.
+SPAN = 128
 QUICK = ("name", "ingredients", "instructions", "keywords", "author", "title")
 #: Operations that are passed over in a search stand here for nothing at all.
 KNOWN = (*POSITIVE, "not_contains")
@@ -39,23 +41,42 @@ def grams(text: str) -> np.ndarray:
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]) if len(points) > 2 else np.zeros(0, np.int64)
 
 
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram): the distinct trigrams of each of some texts, all at once."""
+    encoded = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    points = np.frombuffer(b"".join(encoded), np.uint32).astype(np.int64)
+    if len(points) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(e) // 4 for e in encoded])
+    within = owner[:-2] == owner[2:]
+    owner, gram = owner[:-2][within], (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[within]
+    order = np.lexsort((gram, owner))
+    owner, gram = owner[order], gram[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+    return owner[new], gram[new]
+
+
 def _postings(key: tuple, rows: pa.Table) -> pa.Table:
-    """The postings of one block, from its texts (id, field, text)."""
-    ids, fields, texts = rows.column("id").combine_chunks(), rows.column("field").to_pylist(), rows.column("text").to_pylist()
-    by_id = np.empty(len(ids), np.int64)
-    by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))  # postings stand in order of id
-    out = []
-    for field in sorted(set(fields)):
-        at = [i for i, f in enumerate(fields) if f == field]
-        held = [grams(texts[i]) for i in at]
-        gram = np.concatenate(held)
-        row = np.repeat(np.array(at), [len(h) for h in held])
-        order = np.lexsort((by_id[row], gram))
-        gram, row = gram[order], row[order]
+    """The postings of one block, from its texts (id, field, text); a text that many rows share is cut up once."""
+    out, kinds = [], rows.column("field")
+    for field in sorted(pc.unique(kinds).to_pylist()):
+        own = rows.filter(pc.equal(kinds, field))
+        ids, texts = own.column("id").combine_chunks(), own.column("text").combine_chunks().dictionary_encode()
+        ids_in_order = ids.take(by_id := pc.sort_indices(ids))  # postings stand in order of id
+        text_of = texts.indices.to_numpy()[by_id.to_numpy()]
+        owner, gram = _pairs(texts.dictionary.to_pylist())
+        grams_held, gram = np.unique(gram, return_inverse=True)
+        # each pair of a text and a trigram stands for all rows of the text
+        of_text, held_by = np.argsort(text_of, kind="stable"), np.bincount(text_of, minlength=len(texts.dictionary))
+        begin, n = (np.cumsum(held_by) - held_by)[owner], held_by[owner]
+        places = of_text[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both = np.sort(np.repeat(gram, n) * len(ids) + places)
+        gram, places = both // len(ids), both % len(ids)
         begins = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(gram)].astype(np.int32)), ids.take(pa.array(row))) if len(gram) else pa.array([], pa.list_(ids.type))
-        n = len(begins)
-        out.append(pa.table({"field": pa.array([field] * n, pa.string()), "gram": pa.array(gram[begins]), "block": pa.array([key[0].as_py()] * n, pa.int32()), "ids": lists}))
+        ends = np.r_[begins, len(gram)]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids_in_order.take(pa.array(places))) if len(gram) else pa.array([], pa.list_(ids.type))
+        out.append(pa.table({"field": pa.array([field] * len(begins), pa.string()), "gram": pa.array(grams_held[gram[begins]], pa.int64()), "block": pa.array([key[0].as_py()] * len(begins), pa.int32()), "n": pa.array(np.diff(ends)[: len(begins)], pa.int32()), "ids": lists}))
     return pa.concat_tables(out)
 
 
@@ -77,13 +98,14 @@ def build(rows: DataFrame, texts: DataFrame, path: str, block_rows: int = ROWS)
     kind = rows.schema["id"].dataType.simpleString()
     rows.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(f"{path}/rows")
     lowered = texts.where(F.col("text").isNotNull()).select("id", "field", F.lower("text").alias("text"), block.alias("block"))
-    found = lowered.groupBy("block").applyInArrow(_postings, f"field string, gram bigint, block int, ids array<{kind}>")
-    # a trigram that most rows hold has a list in every block: ranges of (trigram, block) spread it over files
-    keys = ["part", "gram", "field", "block"]
-    found = found.withColumn("part", F.pmod("gram", F.lit(PARTS)).cast("int")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    found = lowered.groupBy("block").applyInArrow(_postings, f"field string, gram bigint, block int, n int, ids array<{kind}>")
+    # a trigram that most rows hold has a list in every block: spans of blocks spread it over files. (Ranges of keys would
+    # be found by a first run over all of them.)
+    found = found.withColumn("part", F.pmod("gram", F.lit(PARTS)).cast("int"))
+    found = found.repartition("part", F.floor(F.col("block") / SPAN)).sortWithinPartitions("part", "gram", "field", "block")
     found.write.partitionBy("part").parquet(f"{path}/grams")
     stored = spark.read.parquet(f"{path}/grams")
-    counts = stored.groupBy("field", "gram").agg(F.sum(F.size("ids")).alias("n"))
+    counts = stored.groupBy("field", "gram").agg(F.sum("n").alias("n"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
     files, root = store(path)
     with files.open_output_stream(f"{root}/index.json") as out:
