@@ -2,7 +2,7 @@
 
 Options: `path` is a database or a folder of them, which driver and executors see alike; `shipped` instead is the name of
 a file that SparkContext.addFile has sent to every executor (for a path that only Spark's file systems reach). `dbtable` is
-the table, `rows` about how many rows a task reads. Filters on columns are checked by SQLite itself, those on the row id or
+the table, `rows` about how many rows a task reads, or more where that would make over TASKS tasks. Filters on columns are checked by SQLite itself, those on the row id or
 on an indexed column in the choice of the ranges too, so that they read little more than their rows; a filter on `library`
 leaves other databases unread. A table without row ids is one range.
 
@@ -34,6 +34,8 @@ ROWS = 100_000
 BATCH = 8192
 #: Points from which the density of row ids is measured, the rows read from each, and the parts of a range that is no even one.
 PROBES, PROBE_ROWS, PARTS = 16, 32, 16
+#: About how many tasks a table has at most; larger ones read more rows in each.
+TASKS = 1024
 ENDINGS = (".db", ".sqlite", ".sqlite3")
 
 
@@ -192,7 +194,8 @@ class Reader(ds.DataSourceReader):
                     continue
                 if first is not None:
                     out += ranges(db, path, table, first, last, self.rows)
-        return tasks(out, self.rows) or [Task(())]
+        # ranges stay as they are, more of them share a task
+        return tasks(out, max(self.rows, -(-sum(r.rows for r in out) // TASKS))) or [Task(())]
 
     def read(self, task: Task) -> Iterator[pa.RecordBatch]:
         fields = [(f.name, f.dataType) for f in self.schema]
