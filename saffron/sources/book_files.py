@@ -8,7 +8,7 @@ into one file of a staging folder, its books' parts one after the other, with a
 is ever one cell. Commit is in two steps. First the write's own: either all tasks have staged their parts and a list of the
 staging folders is written, or abort() removes what there is. Then publish() cuts the parts out and puts them in their
 places in tasks of their own; the parts of a book that several tasks have written are joined, bytes after bytes, by the task
-of the first. What the driver holds is one line a task, and what it removes at the end are two files a task.
+of the first. What the driver holds is one line a task, and what it removes at the end are two files and a folder a task.
 
 Paths may be of any file system that Arrow knows by its scheme (file, hdfs, s3 and others).
 """
@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.types as at
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,27 @@ def target(root: str, book: str, name: str) -> str:
     return f"{root}/{book}/{FOLDER}/{name}"
 
 
-def item(row: dict) -> str:
-    """A row as an element of an array that is indented by 2; JSON keeps line ends out of its strings."""
-    return "\n".join(f"  {line}" for line in json.dumps(row, indent=2, ensure_ascii=False, default=str).split("\n"))
+def _value(kind: pa.DataType, pad: str) -> Callable[[object], str]:
+    """How values of a type are written, their further lines after pad; JSON keeps line ends out of its strings."""
+    quoted, whole = json.encoder.encode_basestring, json.JSONEncoder(indent=2, ensure_ascii=False, default=str).encode
+    word = lambda x: "null" if x is None else quoted(x)
+    if at.is_string(kind):
+        return word
+    if at.is_integer(kind):
+        return lambda x: "null" if x is None else str(x)
+    if at.is_list(kind) and at.is_string(kind.value_type):
+        return lambda x: "null" if x is None else f"[\n{pad}  " + f",\n{pad}  ".join(map(word, x)) + f"\n{pad}]" if x != [] else "[]"
+    return lambda x: whole(x).replace("\n", f"\n{pad}")
+
+
+def texts(batch: pa.RecordBatch, fields: list[str], pad: str) -> Iterator[str]:
+    """Each row as an object that is indented by 2 after pad, as json.dumps writes it, which takes one row at a time by Python
+    code and some twenty times as long."""
+    if not fields:
+        return iter([f"{pad}{{}}"] * batch.num_rows)
+    row = f"{pad}{{\n" + ",\n".join(f"{pad}  {json.dumps(c, ensure_ascii=False).replace('%', '%%')}: %s" for c in fields) + f"\n{pad}}}"
+    columns = [batch.column(c) for c in fields]
+    return (row % values for values in zip(*[map(_value(c.type, f"{pad}  "), c.to_pylist()) for c in columns], strict=True))
 
 
 @dataclass
@@ -61,7 +81,7 @@ class Staged(ds.WriterCommitMessage):
 
 class Writer(ds.DataSourceArrowWriter):
     """Takes rows of (_book, _place, fields ...), sorted by book and order; a row whose _place is null stands for a book
-    without rows."""
+    that may have no rows."""
 
     def __init__(self, options, schema: T.StructType):
         self.root, self.job = options["path"].rstrip("/"), options["job"]
@@ -73,6 +93,7 @@ class Writer(ds.DataSourceArrowWriter):
         files, root = store(self.root)
         folder = f"{root}/{STAGED}/{self.job}/{task.partitionId()}-{task.attemptNumber()}"
         first, book, out, lengths, size = None, None, None, None, 0
+        waiting, held = [], 0
 
         def ended() -> None:
             if book is not None:
@@ -80,21 +101,25 @@ class Writer(ds.DataSourceArrowWriter):
 
         try:
             for batch in batches:
-                books, places = batch.column("_book").to_pylist(), batch.column("_place")
-                rows = batch.select(self.fields).to_pylist()
-                for name, placed, row in zip(books, places, rows, strict=True):
+                books, placed = batch.column("_book").to_pylist(), batch.column("_place").is_valid().to_pylist()
+                for name, has, text in zip(books, placed, texts(batch, self.fields, "" if self.one else "  "), strict=True):
                     if out is None:
                         files.create_dir(folder)
                         out, lengths = (files.open_output_stream(f"{folder}/{x}", buffer_size=COPY) for x in (PARTS, LENGTHS))
                     if name != book:
                         ended()
                         first, book, size = name if first is None else first, name, 0
-                    if not placed.is_valid:
+                    if not has:
                         continue
                     # a part holds elements; the brackets and the commas between parts come when it is published
-                    text = (("" if size == 0 else ",\n") + (json.dumps(row, indent=2, ensure_ascii=False, default=str) if self.one else item(row))).encode()
-                    out.write(text)
-                    size += len(text)
+                    part = (text if size == 0 else f",\n{text}").encode()
+                    waiting.append(part)
+                    size, held = size + len(part), held + len(part)
+                    if held >= COPY:
+                        out.write(b"".join(waiting))
+                        waiting, held = [], 0
+            if out is not None:
+                out.write(b"".join(waiting))
             ended()
         finally:
             for opened in (out, lengths):
@@ -151,6 +176,8 @@ def _publish(root: str, name: str, one: bool):
         for batch in batches:
             n = 0
             for row in batch.to_pylist():
+                aside = Aside(f"{row['folder']}/{uuid.uuid4().hex}", isinstance(files, fs.LocalFileSystem))
+                files.create_dir(aside.folder)
                 with files.open_input_stream(f"{row['folder']}/{PARTS}", buffer_size=COPY) as held:
                     for book, length in _lengths(files, row["folder"]):
                         own = _pieces(held, length)
@@ -159,16 +186,26 @@ def _publish(root: str, name: str, one: bool):
                                 pass
                             continue
                         more = row["more"] if book == row["last"] else []
-                        _put(files, [own, *[_begun(files, folder) for folder in more]], target(base, book, name), one, length if not more else COPY)
+                        _put(files, [own, *[_begun(files, folder) for folder in more]], base, book, name, aside, one, length if not more else COPY)
                         n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
 
     return publish
 
 
-def _put(files: fs.FileSystem, parts: list[Iterator[bytes]], path: str, one: bool, size: int) -> None:
+@dataclass
+class Aside:
+    """A task's own folder, and whether it makes books' folders in it: until one turns out to be there already, as looking
+    each up first would take a third longer in a folder into which all tasks write."""
+
+    folder: str
+    used: bool
+
+
+def _put(files: fs.FileSystem, parts: list[Iterator[bytes]], base: str, book: str, name: str, aside: Aside, one: bool, size: int) -> None:
     """Joins the parts of a file beside its place and then moves it there, so that it is never seen half written. A small
-    file, by its size, is one write."""
+    file, by its size, is one write. On a local file system the folder of a new book is made in one of the task's own and
+    moved as a whole: tasks that make folders in the same one wait for each other, and a move is the shortest wait."""
 
     def pieces() -> Iterator[bytes]:
         between = b"[\n"
@@ -182,12 +219,29 @@ def _put(files: fs.FileSystem, parts: list[Iterator[bytes]], path: str, one: boo
                 yield piece
         yield b"" if one else b"\n]" if between == b",\n" else b"[]"
 
-    files.create_dir(path.rpartition("/")[0])
-    beside = f"{path}.{uuid.uuid4().hex}"
-    with files.open_output_stream(beside, buffer_size=COPY if size >= COPY else None) as out:
+    path, local = target(base, book, name), isinstance(files, fs.LocalFileSystem)
+    new = aside.used and book not in ("", ".", "..")
+    if new:
+        beside = target(aside.folder, book, name)
+        os.mkdir(f"{aside.folder}/{book}")
+        os.mkdir(os.path.dirname(beside))
+    else:
+        beside = f"{path}.{uuid.uuid4().hex}"
+        files.create_dir(path.rpartition("/")[0])
+    with open(beside, "wb") if local and size < COPY else files.open_output_stream(beside, buffer_size=COPY if size >= COPY else None) as out:
         for piece in pieces() if size >= COPY else [b"".join(pieces())]:
             out.write(piece)
-    files.move(beside, path)
+    if new:
+        try:
+            os.rename(f"{aside.folder}/{book}", f"{base}/{book}")
+        except OSError:  # the book has a folder with files
+            aside.used = False
+            files.create_dir(path.rpartition("/")[0])
+            files.move(beside, path)
+            os.rmdir(os.path.dirname(beside))
+            os.rmdir(f"{aside.folder}/{book}")
+    else:
+        files.move(beside, path)
 
 
 def write(rows: DataFrame, root: str, order: list[str], name: str = RECIPES, books: DataFrame | None = None, one: bool = False) -> int:
@@ -201,8 +255,8 @@ def write(rows: DataFrame, root: str, order: list[str], name: str = RECIPES, boo
     named = F.url_encode(F.col("book_id").cast("string")).alias("_book")
     keyed = rows.where(F.col("book_id").isNotNull()).select(named, F.lit(1).alias("_place"), *fields, *sorted_by)
     if books is not None:
-        bare = books.where(F.col("book_id").isNotNull()).select(named).distinct().join(keyed.select("_book"), "_book", "left_anti")
-        keyed = keyed.unionByName(bare, allowMissingColumns=True)
+        # one row for each of them, whether it has others or not, as it is less to sort than a join would be
+        keyed = keyed.unionByName(books.where(F.col("book_id").isNotNull()).select(named), allowMissingColumns=True)
     by = ["_book", *[f"_by{i}" for i in range(len(order))]]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("_book", "_place", *fields)
