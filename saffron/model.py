@@ -29,6 +29,8 @@ class Catalogue:
     #: recipe_keywords in which a link may stand more than once; searches ask only whether one exists, so they read
     #: these and no shuffle makes them distinct.
     raw_links: DataFrame | None = None
+    #: (list_id, recipe_id) of list_items, some perhaps more than once, for what makes them distinct by itself.
+    raw_items: DataFrame | None = None
     #: A SubstringIndex of described() by which searches narrow what they read.
     substrings: SubstringIndex | None = None
 
@@ -74,5 +76,6 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Catalogue:
         lists=read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
         list_items=lines.groupBy(F.col("l_suppkey").alias("list_id"), F.col("l_orderkey").alias("recipe_id")).agg(F.min("l_shipdate").alias("created_at")),
         raw_links=lines.select(F.col("l_orderkey").alias("recipe_id"), F.col("l_partkey").alias("keyword_id")),
+        raw_items=lines.select(F.col("l_suppkey").alias("list_id"), F.col("l_orderkey").alias("recipe_id")),
         embeddings=read("embeddings").select(F.col("vec_id").alias("recipe_id"), "embedding"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a task that groups them by key, about, and the share of keys by which they are counted beforehand.
+TASK_ROWS, SHARE = 500_000, 64
 #: Types that JSON has too.
 PLAIN = ("string", "boolean", "byte", "short", "integer", "long", "float", "double", "array", "struct", "map")
 
@@ -68,9 +70,21 @@ def clear_images(recipes: DataFrame, book) -> DataFrame:
 
 
 def toggle(items: DataFrame, pair: DataFrame) -> DataFrame:
-    """List membership (list_id, recipe_id): those in pair leave if they are in and join if they are not."""
+    """List membership (list_id, recipe_id): those in pair leave if they are in and join if they are not. Both may hold a
+    row more than once, the result has each once; a row with a null is like no other.
+
+    One aggregation over both, in as many tasks as the rows ask for: by themselves tasks would be as few as the cores."""
     key = ["list_id", "recipe_id"]
-    return items.select(*key).join(pair, key, "left_anti").unionByName(pair.join(items, key, "left_anti"))
+    both = items.select(*key, F.lit(1).alias("_side")).unionByName(pair.select(*key, F.lit(2).alias("_side")))
+    alone = F.when(F.col("list_id").isNull() | F.col("recipe_id").isNull(), F.col("_side")).alias("_alone")
+    sides = both.repartition(_tasks(both, key), *key).groupBy(*key, alone).agg(F.bit_or("_side").alias("_sides"))
+    return sides.where("_sides < 3").select(*key)
+
+
+def _tasks(rows: DataFrame, key: list[str]) -> int:
+    """Tasks among which rows may be dealt by key; how many rows there are is guessed from one key in SHARE."""
+    some = rows.where(F.pmod(F.xxhash64(*key), F.lit(SHARE)) == 0).count()
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-some * SHARE // TASK_ROWS))
 
 
 def append_once(values: Column, value: Column) -> Column:

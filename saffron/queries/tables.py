@@ -279,7 +279,7 @@ def clear_images(spark, d):
 def list_toggle_all(spark, d):
     """One pair for every order: in where it was out, out where it was in."""
     c = star_schema(spark, d)
-    return mutations.toggle(c.list_items, c.recipes.select((1 + F.col("id") % 10).alias("list_id"), F.col("id").alias("recipe_id")))
+    return mutations.toggle(c.raw_items, c.recipes.select((1 + F.col("id") % 10).alias("list_id"), F.col("id").alias("recipe_id")))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN ['F'] ELSE [o_orderstatus, 'F'] END AS tried FROM orders")
